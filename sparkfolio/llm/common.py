@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
 #: Texts are hashed in slices of about this many bytes, which bounds the memory of a Python worker.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 250_000
 SHINGLE_WORDS = 5
 
 
@@ -87,37 +87,56 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def marked(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """inside[data], by the bytes' own translation, which needs no wide index."""
+    return np.frombuffer(data.tobytes().translate(inside.astype(np.uint8).tobytes()), np.uint8 if inside.dtype != bool else bool)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word (a run of bytes marked in ``inside``, A-Z in lower case) and the n + 1 offsets of the rows' words."""
     n = len(data)
     if n == 0:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    kept = inside[data]
+    kept = marked(data, inside)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.concatenate([[False], kept[:-1]])
-    after = np.concatenate([kept[1:], [False]])
-    starts = np.flatnonzero(kept & (~before | edge[:-1]))
-    ends = np.flatnonzero(kept & (~after | edge[1:])) + 1
+    first, last = edge[:-1].copy(), edge[1:].copy()
+    first[0] = last[-1] = True
+    first[1:] |= ~kept[:-1]
+    last[:-1] |= ~kept[1:]
+    starts = np.flatnonzero(kept & first)
+    ends = np.flatnonzero(kept & last) + 1
     up, down = POWERS.upto(n)
     prefix = np.zeros(n + 1, U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * up[:n], out=prefix[1:])
+    letters = marked(data, LOWER).astype(U)
+    letters += U(1)
+    letters *= up[:n]
+    np.cumsum(letters, out=prefix[1:])
     hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
     return hashes, np.searchsorted(starts, offsets)
 
 
+#: Odd multipliers of the words of a window, by place.
+PLACES = mix(np.arange(1, 17, dtype=U)) | U(1)
+
+
 def windows(hashes: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of ``size`` words of each row; a shorter row gives its whole sequence as one. Returns hashes and n + 1 offsets."""
     counts = np.diff(offsets)
     out = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     at = np.concatenate([[0], np.cumsum(out)]).astype(np.int64)
-    row = np.repeat(np.arange(len(counts)), out)
-    first = np.arange(at[-1]) - at[row] + offsets[row]
-    span = np.minimum(counts, size)[row]
-    value = np.zeros(len(first), U)
-    for i in range(size):
-        there = span > i
-        value = np.where(there, mix(value * U(0x9E3779B97F4A7C15) + hashes[np.minimum(first + i, max(len(hashes) - 1, 0))] + U(i + 1)), value) if len(hashes) else value
+    every = np.zeros(max(len(hashes) - size + 1, 0), U)
+    for i in range(size if len(every) else 0):
+        every += hashes[i : len(every) + i] * PLACES[i]
+    first = np.arange(at[-1]) + np.repeat(offsets[:-1] - at[:-1], out)
+    short = np.flatnonzero((counts < size) & (counts > 0))
+    value = np.zeros(at[-1], U)
+    whole = np.ones(at[-1], bool)
+    whole[at[short]] = False
+    value[whole] = mix(every[first[whole]])
+    for row in short.tolist():
+        n = int(counts[row])
+        value[at[row]] = mix((hashes[offsets[row] : offsets[row] + n] * PLACES[:n]).sum(dtype=U)[None] + U(n))[0]
     return value, at
 
 

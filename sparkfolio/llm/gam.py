@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U, row_sums, shared, slices, strings, windows, words
+from .common import IS_SPACE, U, marked, row_sums, shared, slices, strings, windows, words
 
 SAMPLE, BINS, PAIRS, PAIR_BINS = 20_000, 32, 6, 8
 ROUNDS, PAIR_ROUNDS, STEP, LEAVES, L2, LEAST = 120, 60, 0.1, 4, 1.0, 5
@@ -51,23 +51,24 @@ def features(texts: pa.Array) -> np.ndarray:
     for a, b in slices(offsets):
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         size = np.maximum(np.diff(off), 1)
-        count = lambda marked: row_sums(marked[part].astype(U), off).astype(np.int64)  # noqa: B023, E731
+        count = lambda kind: row_sums(marked(part, kind).astype(U), off).astype(np.int64)  # noqa: B023, E731
         hashes, at = words(part, off, ~IS_SPACE)
         n = np.diff(at)
         some = np.maximum(n, 1)
         shingles, start = windows(hashes, at)
         lines, line_at = words(part, off, LINES)
         n_lines = np.maximum(np.diff(line_at), 1)
-        before = np.concatenate([[True], IS_SPACE[part[:-1]]]) if len(part) else np.zeros(0, bool)
+        space_at = marked(part, IS_SPACE)
+        before = np.concatenate([[True], space_at[:-1]]) if len(part) else np.zeros(0, bool)
         before[off[:-1][off[:-1] < len(part)]] = True
-        after = np.concatenate([IS_SPACE[part[1:]], [True]]) if len(part) else before
+        after = np.concatenate([space_at[1:], [True]]) if len(part) else before
         here = lambda mask: row_sums(mask.astype(U), off).astype(np.int64)  # noqa: B023, E731
         letters = np.maximum(count(IS_ALPHA), 1)
         space = count(IS_SPACE)
         out.append(np.stack([
             np.log1p(n), (np.diff(off) - space) / some, count(IS_UPPER) / letters, count(IS_DIGIT) / size, count(IS_MARK) / size, count(IS_SHOUT) / size, count(IS_SYMBOL) / size, count(IS_FOREIGN) / size,
             np.log1p(n_lines), np.log1p(size / n_lines), _fresh(hashes, at) / some, 1 - _fresh(shingles, start) / np.maximum(np.diff(start), 1), 1 - _fresh(lines, line_at) / n_lines, np.log1p(n / np.maximum(count(IS_STOP), 1)),
-            here(before & IS_UPPER[part]) / some, here(after & (IS_SYMBOL | IS_SHOUT)[part]) / some, here(before & after & IS_ALPHA[part]) / some,
+            here(before & marked(part, IS_UPPER)) / some, here(after & marked(part, IS_SYMBOL | IS_SHOUT)) / some, here(before & after & marked(part, IS_ALPHA)) / some,
         ], 1).astype(float))
     return np.concatenate(out)
 

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, U, distinct, mix, partitions, row_sums, shared, slices, strings, windows, words
 
 #: Hashed counters that order signatures by how common they are.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
+SHIFT = U(64 - 19)
 #: Signatures that a task gathers before it deals them out to buckets.
 FLUSH = 1_000_000
 #: Bits of the cells in which two sets are compared before their shingles are moved.
@@ -65,7 +66,8 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def cells(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many shingles of each set fall into each cell; the sum of differences of two sets' cells bounds their difference from below."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    return np.bincount(rows * CELLS + (mix(values + U(77)) % U(CELLS)).astype(np.int64), minlength=(len(offsets) - 1) * CELLS).reshape(-1, CELLS).astype(np.uint32)
+    out = np.bincount(rows * CELLS + ((values >> U(7)) % U(CELLS)).astype(np.int64), minlength=(len(offsets) - 1) * CELLS)
+    return np.minimum(out, 255).reshape(-1, CELLS).astype(np.uint8)
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,7 +80,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
         parts = np.where(high >= 256, high, 4 * high)
         row = np.repeat(np.arange(len(sizes)), sizes)
         part = ((mix(values ^ U(0x5BD1E995)) >> U(20)) % parts[row].astype(U)).astype(np.int64)
-        order = np.argsort(row * (int(parts.max(initial=1)) + 1) + part, kind="stable")
+        order = np.argsort(row * (int(parts.max(initial=1)) + 1) + part)
         row, part, value = row[order], part[order], values[order]
         if not len(row):
             continue
@@ -94,18 +96,6 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
             yield mix(value[alone] + mix(band[row[alone]].astype(U) + U(1 << 50))), row[alone], need[row[alone]], np.ones(int(alone.sum()), bool)
 
 
-def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, cls2, n_shingles of every document."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b, values, offsets in shingle_sets(batch.column(1)):
-                one, two = digests(values, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offsets))], ["doc_id", "cls", "cls2", "n_shingles"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls long, cls2 long, n_shingles long")
-
-
 BLOCKS = "block long, content binary"
 
 
@@ -132,25 +122,35 @@ def folded(parts: DataFrame, size: int, kind: type, op: np.ufunc) -> np.ndarray:
     return out.ravel()
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
-    """Hashed counts of all signatures of all documents: a fixed number of counters, whatever the input."""
+TABLE = "doc_id long, cls long, cls2 long, n_shingles long, cells binary, block long, content binary"
+
+
+def class_table(docs: DataFrame) -> DataFrame:
+    """doc_id, cls, cls2, n_shingles, cells of every document; and rows of hashed counts of all signatures, as ``blocks``: a fixed number of counters for each task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("n_shingles", pa.int64()), ("cells", pa.binary()), ("block", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, _, values, offsets in shingle_sets(batch.column(0)):
+            for a, b, values, offsets in shingle_sets(batch.column(1)):
                 for sign, _, _, _ in signatures(values, offsets):
-                    total += np.bincount((sign >> U(44)).astype(np.int64), minlength=COUNTERS)
+                    total += np.bincount((sign >> SHIFT).astype(np.int64), minlength=COUNTERS)
+                one, two = digests(values, offsets)
+                n = b - a
+                own = pa.array([x.tobytes() for x in cells(values, offsets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offsets)), own, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
         if total.any():
-            yield from blocks(np.minimum(total, 2**31 - 1).astype(np.int32))
+            for part in blocks(np.minimum(total, 2**31 - 1).astype(np.int32)):
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:5]), part.column(0), part.column(1)], schema=schema)
 
-    return folded(texts.select(F.col("text").cast("string")).mapInArrow(run, BLOCKS), COUNTERS, np.int32, np.add)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TABLE)
 
 
 def signature_groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """Distinct groups of classes that share a signature: members (sorted), and the number of signatures that they share."""
     buckets = partitions(docs.sparkSession)
-    rank = np.minimum(common, 2**31 - 1).astype(np.int32)
+    rank = np.clip(common, 0, 2**22 - 1).astype(U)
 
     def emit(held):
         sign = np.concatenate([x[0] for x in held])
@@ -173,10 +173,15 @@ def signature_groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 cls = digests(values, offsets)[0]
                 for sign, row, need, beside in signatures(values, offsets):
                     if not beside.all():
-                        order = np.lexsort((sign, rank[(sign >> U(44)).astype(np.int64)], row))
-                        sign, row, need = sign[order], row[order], need[order]
-                        place = np.arange(len(row)) - np.searchsorted(row, row)
-                        sign, row = sign[place <= need], row[place <= need]
+                        # row, then count, then bits of the signature; those that tie with the last one needed stay as well
+                        key = (row.astype(U) << U(42)) | (rank[(sign >> SHIFT).astype(np.int64)] << U(20)) | (mix(sign) >> U(44))
+                        order = np.argsort(key)
+                        key, row, need = key[order], row[order], need[order]
+                        begin = np.flatnonzero(np.diff(row, prepend=-1))
+                        size = np.diff(np.append(begin, len(row)))
+                        last = key[begin + np.minimum(need[begin], size - 1)]
+                        keep = key <= np.repeat(last, size)
+                        sign, row = sign[order[keep]], row[keep]
                     held.append((sign, cls[row]))
                     n += len(sign)
                 if n >= FLUSH:
@@ -283,39 +288,61 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether cells leave a link possible: the difference of two sets is at least the sum of their cells' differences, and at most a seventh of their sizes' sum. x, y: rows of n (in 4 bytes), cells."""
+    apart = np.abs(x[..., 4:].astype(np.int16) - y[..., 4:].astype(np.int16)).sum(-1, dtype=np.int64)
+    sizes = [np.ascontiguousarray(z[..., :4]).view(np.int32)[..., 0].astype(np.int64) for z in (x, y)]
+    return (7 * apart <= sizes[0] + sizes[1]) & (100 * np.minimum(*sizes) >= 75 * np.maximum(*sizes))
+
+
+def rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 4 + CELLS)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and class_size (documents with an equal set)."""
-    rows = shared(class_table(docs))
-    classes = shared(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n")))
-    groups = shared(signature_groups(docs, frequencies(docs.select("text"))))
-    # each class against the partner that shares the most signatures with it; a group's first member stands for the group
+    table = shared(class_table(docs))
+    rows = table.filter("block IS NULL").select("doc_id", "cls", "cls2", "n_shingles")
+    common = folded(table.filter("block IS NOT NULL").select("block", "content"), COUNTERS, np.int32, np.add)
+    groups = shared(signature_groups(docs, common))
+    sized = F.concat(F.unhex(F.lpad(F.hex(F.col("n_shingles").cast("int")), 8, "0")), F.col("cells"))  # n with its highest byte first
+    known = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first(sized).alias("cells"))
+    classes = shared(known)
+    cell = classes.select("cls", "cells")
+    # a group's first member stands for the group; each class is checked against the partner that shares the most signatures with it
     stars = groups.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b"), "weight").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    sizes = classes.select("cls", "n")
-    size_a, size_b = sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
-    fits = "100 * least(na, nb) >= 75 * greatest(na, nb)"
-    best = stars.join(size_a, "a").join(size_b, "b").filter(fits).groupBy("b").agg(F.max_by("a", F.struct("w", F.negate("a"))).alias("a"))
-    first = shared(checked(shared(best.select("a", "b")), docs))
+    stars = stars.join(cell.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a").join(cell.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b")
+
+    def possible(batches):
+        for batch in batches:
+            yield batch.select(["a", "b", "w"]).filter(pa.array(close(swapped(batch.column(3)), swapped(batch.column(4)))))
+
+    best = stars.select("a", "b", "w", "x", "y").mapInArrow(possible, "a long, b long, w long").groupBy("b").agg(F.max_by("a", F.struct("w", F.negate("a"))).alias("a"))
+    best = shared(best.select("a", "b"))
+    first = shared(checked(best, docs))
     labels = components(first)
-    # groups whose members are still apart
+    # groups whose members are still apart: all their pairs across components that cells leave possible
     member = groups.select("gid", F.explode("members").alias("node")).join(labels, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     apart = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
-    listed = member.join(apart, "gid").join(sizes.withColumnRenamed("cls", "node"), "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "n")).alias("members"))
+    listed = member.join(apart, "gid").join(cell.withColumnRenamed("cls", "node"), "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "cells")).alias("members"))
 
     def cross(batches):
         for batch in batches:
             out: list[np.ndarray] = []
             held = 0
             for members in batch.column(0):
-                flat = members.values
-                node, component, n = (np.asarray(flat.field(i)) for i in range(3))
+                node, component = (np.asarray(members.values.field(i)) for i in range(2))
+                cells_ = swapped(members.values.field(2))
+                n = np.ascontiguousarray(cells_[:, :4]).view(np.int32)[:, 0].astype(np.int64)
                 order = np.argsort(n, kind="stable")
-                node, component, n = node[order], component[order], n[order]
-                # from each set to those of its size up to 4/3 of it
+                node, component, cells_, n = node[order], component[order], cells_[order], n[order]
                 ends = np.searchsorted(n, 4 * n // 3, "right")
-                for i in range(len(node)):
-                    other = node[i + 1 : ends[i]][component[i + 1 : ends[i]] != component[i]]
-                    out.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
-                    held += len(other)
+                for i in range(len(node)):  # from each set to those of its size up to 4/3 of it
+                    to = i + 1 + np.flatnonzero(component[i + 1 : ends[i]] != component[i])
+                    to = to[close(cells_[i], cells_[to])] if len(to) else to
+                    if len(to):
+                        out.append(np.stack([np.minimum(node[to], node[i]), np.maximum(node[to], node[i])], 1))
+                        held += len(to)
                     if held > 500_000:
                         some, out, held = np.unique(np.concatenate(out), axis=0), [], 0
                         yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
@@ -326,7 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = listed.select("members").mapInArrow(cross, "a long, b long").distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = shared(pairs.join(tried, ["a", "b"], "left_anti"))
-    more = shared(checked(shared(near_by_cells(pairs, docs)), docs)) if pairs.limit(1).count() else None
+    more = shared(checked(pairs, docs)) if pairs.limit(1).count() else None
     if more is not None and more.limit(1).count():
         labels = components(first.union(more))
     named = labels.join(classes, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("least").alias("component_id"))
@@ -339,25 +366,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_by_cells(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose cells do not rule a link out: the difference of two sets is at least the sum of their cells' differences."""
-
-    def vectors(batches):
-        for batch in batches:
-            for _, _, values, offsets in shingle_sets(batch.column(0)):
-                at = np.flatnonzero(np.diff(offsets) > 0)
-                cls = digests(values, offsets)[0][at]
-                pick = np.unique(cls, return_index=True)[1]
-                counts = cells(values, offsets)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[pick].view(np.int64)), pa.array([counts[i].tobytes() for i in pick.tolist()], pa.binary())], ["cls", "cells"])
-
-    def near(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
-            apart = np.abs(x - y).sum(1)
-            yield batch.select(["a", "b"]).filter(pa.array(7 * apart <= x.sum(1) + y.sum(1)))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    own = docs.select(F.col("text").cast("string")).mapInArrow(vectors, "cls long, cells binary").groupBy("cls").agg(F.first("cells").alias("cells")).join(wanted, "cls", "left_semi")
-    left = pairs.join(own.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a")
-    return left.join(own.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+def swapped(column: pa.Array) -> np.ndarray:
+    """Rows of n in the machine's byte order, then cells."""
+    out = rows_of(column).copy()
+    out[:, :4] = out[:, 3::-1]
+    return out
