@@ -309,8 +309,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first(sized).alias("cells"))
     classes = shared(known)
     cell = classes.select("cls", "cells")
-    # a group's first member stands for the group; each class is checked against the partner that shares the most signatures with it
-    stars = groups.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b"), "weight").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
+    # the member that shares the most signatures with others stands for a group (the original, if the others are copies of it);
+    # each class is checked against the one of these partners that it shares the most signatures with
+    flat = groups.select("gid", F.explode("members").alias("node"), "weight", (F.col("weight") * (F.size("members") - 1)).alias("links"))
+    central = flat.join(flat.groupBy("node").agg(F.sum("links").alias("degree")), "node").groupBy("gid").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
+    stars = flat.join(central, "gid").withColumnRenamed("node", "b").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
     stars = stars.join(cell.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a").join(cell.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b")
 
     def possible(batches):
