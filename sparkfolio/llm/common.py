@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -28,6 +29,12 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def freed(df: DataFrame) -> None:
+    """Let Spark's cleaner drop shuffle files of frames that are no longer in use; it learns of them from the driver's garbage collector."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U, distinct, mix, partitions, row_sums, shared, slices, strings, windows, words
+from .common import IS_SPACE, U, distinct, freed, mix, partitions, row_sums, shared, slices, strings, windows, words
 
 #: Hashed counters that order signatures by how common they are.
 COUNTERS = 1 << 19
 SHIFT = U(64 - 19)
 #: Signatures that a task gathers before it deals them out to buckets.
 FLUSH = 1_000_000
-#: Bits of the cells in which two sets are compared before their shingles are moved.
-CELLS = 64
+#: Least logarithm of the number of cells in which two sets are compared before their shingles are moved.
+LEAST_LEVEL, MOST_FINE = 4, 9
 
 
 def bands(largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +63,53 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(row_sums(mix(values + U(1)), offsets) + sizes) | (sizes > 0).astype(U), mix(row_sums(mix(values ^ U(0xA5A5A5A5A5A5A5A5)), offsets) + sizes)
 
 
-def cells(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many shingles of each set fall into each cell; the sum of differences of two sets' cells bounds their difference from below."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out = np.bincount(rows * CELLS + ((values >> U(7)) % U(CELLS)).astype(np.int64), minlength=(len(offsets) - 1) * CELLS)
-    return np.minimum(out, 255).reshape(-1, CELLS).astype(np.uint8)
+def level(sizes: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of cells of sets of these sizes: two to four shingles a cell up to 256 cells, then four to eight."""
+    fine = np.frexp(np.maximum(sizes, 1))[1] - 1
+    return np.where(fine <= MOST_FINE, np.maximum(fine - 1, LEAST_LEVEL), np.maximum(fine - 2, MOST_FINE - 1)).astype(np.int64)
+
+
+def cells(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Size of each set in 4 bytes, and how many of its shingles fall into each cell (255 at most)."""
+    sizes = np.diff(offsets)
+    width = 1 << level(sizes)
+    start = np.concatenate([[0], np.cumsum(width)])
+    place = (values >> U(7)).astype(np.int64) & np.repeat(width - 1, sizes)
+    out = np.minimum(np.bincount(np.repeat(start[:-1], sizes) + place, minlength=start[-1]), 255).astype(np.uint8).tobytes()
+    return [n.to_bytes(4, "little") + out[a:b] for n, a, b in zip(sizes.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def sized(raw: bytes, to: int | None = None) -> tuple[int, np.ndarray]:
+    """Size of a set and its cells, folded to a level."""
+    out = np.frombuffer(raw, np.uint8, offset=4).astype(np.int16)
+    while to is not None and len(out) > 1 << to:
+        out = out.reshape(2, -1).sum(0, dtype=np.int16)
+    return int.from_bytes(raw[:4], "little"), out
+
+
+def possible(a: bytes, b: bytes) -> bool:
+    """Whether cells leave a link possible: the difference of two sets is at least the sum of their cells' differences, and at most a seventh of their sizes' sum."""
+    to = min(len(a), len(b)) - 4
+    (n, x), (m, y) = sized(a, to.bit_length() - 1), sized(b, to.bit_length() - 1)
+    return 100 * min(n, m) >= 75 * max(n, m) and 7 * int(np.abs(x - y).sum(dtype=np.int64)) <= n + m
+
+
+def possible_pairs(node: np.ndarray, component: np.ndarray, raw: list[bytes]) -> Iterator[np.ndarray]:
+    """Pairs of a group's members in different components that cells leave possible: each set against those of its size up to 4/3 of it."""
+    n = np.array([int.from_bytes(x[:4], "little") for x in raw])
+    order = np.argsort(n, kind="stable")
+    node, component, n, raw = node[order], component[order], n[order], [raw[i] for i in order.tolist()]
+    ends, levels = np.searchsorted(n, 4 * n // 3, "right"), level(n)
+    for to in np.unique(levels).tolist():
+        first, last = np.searchsorted(levels, to), np.searchsorted(levels, to, "right")
+        some = np.stack([sized(x, to)[1] for x in raw[first : ends[last - 1]]])
+        for i in range(first, last):
+            near = i + 1 + np.flatnonzero(component[i + 1 : ends[i]] != component[i])
+            if len(near):
+                apart = np.abs(some[near - first] - some[i - first]).sum(1, dtype=np.int64)
+                near = near[7 * apart <= n[near] + n[i]]
+                if len(near):
+                    yield np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], 1)
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,7 +179,7 @@ def class_table(docs: DataFrame) -> DataFrame:
                     total += np.bincount((sign >> SHIFT).astype(np.int64), minlength=COUNTERS)
                 one, two = digests(values, offsets)
                 n = b - a
-                own = pa.array([x.tobytes() for x in cells(values, offsets)], pa.binary())
+                own = pa.array(cells(values, offsets), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offsets)), own, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
         if total.any():
             for part in blocks(np.minimum(total, 2**31 - 1).astype(np.int32)):
@@ -288,15 +330,11 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether cells leave a link possible: the difference of two sets is at least the sum of their cells' differences, and at most a seventh of their sizes' sum. x, y: rows of n (in 4 bytes), cells."""
-    apart = np.abs(x[..., 4:].astype(np.int16) - y[..., 4:].astype(np.int16)).sum(-1, dtype=np.int64)
-    sizes = [np.ascontiguousarray(z[..., :4]).view(np.int32)[..., 0].astype(np.int64) for z in (x, y)]
-    return (7 * apart <= sizes[0] + sizes[1]) & (100 * np.minimum(*sizes) >= 75 * np.maximum(*sizes))
-
-
-def rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 4 + CELLS)
+def unique_pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    some = np.concatenate(parts)
+    some = some[np.lexsort((some[:, 1], some[:, 0]))]
+    some = some[np.concatenate([[True], (np.diff(some, axis=0) != 0).any(1)])]
+    return pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -304,9 +342,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = shared(class_table(docs))
     rows = table.filter("block IS NULL").select("doc_id", "cls", "cls2", "n_shingles")
     common = folded(table.filter("block IS NOT NULL").select("block", "content"), COUNTERS, np.int32, np.add)
-    groups = shared(signature_groups(docs, common))
-    sized = F.concat(F.unhex(F.lpad(F.hex(F.col("n_shingles").cast("int")), 8, "0")), F.col("cells"))  # n with its highest byte first
-    known = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first(sized).alias("cells"))
+    groups = shared(signature_groups(docs, common).groupBy("gid").agg(F.first("members").alias("members"), F.sum("weight").alias("weight")))
+    freed(docs)
+    known = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("cells").alias("cells"))
     classes = shared(known)
     cell = classes.select("cls", "cells")
     # the member that shares the most signatures with others stands for a group (the original, if the others are copies of it);
@@ -314,16 +352,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     flat = groups.select("gid", F.explode("members").alias("node"), "weight", (F.col("weight") * (F.size("members") - 1)).alias("links"))
     central = flat.join(flat.groupBy("node").agg(F.sum("links").alias("degree")), "node").groupBy("gid").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
     stars = flat.join(central, "gid").withColumnRenamed("node", "b").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    stars = stars.join(cell.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a").join(cell.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", F.negate("a"))).alias("a"))
+    best = best.join(cell.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a").join(cell.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b")
 
-    def possible(batches):
+    def sieve(batches):
         for batch in batches:
-            yield batch.select(["a", "b", "w"]).filter(pa.array(close(swapped(batch.column(3)), swapped(batch.column(4)))))
+            yield batch.select(["a", "b"]).filter(pa.array([possible(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
 
-    best = stars.select("a", "b", "w", "x", "y").mapInArrow(possible, "a long, b long, w long").groupBy("b").agg(F.max_by("a", F.struct("w", F.negate("a"))).alias("a"))
-    best = shared(best.select("a", "b"))
+    best = shared(best.select("a", "b", "x", "y").mapInArrow(sieve, "a long, b long"))
     first = shared(checked(best, docs))
     labels = components(first)
+    freed(docs)
     # groups whose members are still apart: all their pairs across components that cells leave possible
     member = groups.select("gid", F.explode("members").alias("node")).join(labels, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     apart = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
@@ -334,28 +373,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             out: list[np.ndarray] = []
             held = 0
             for members in batch.column(0):
-                node, component = (np.asarray(members.values.field(i)) for i in range(2))
-                cells_ = swapped(members.values.field(2))
-                n = np.ascontiguousarray(cells_[:, :4]).view(np.int32)[:, 0].astype(np.int64)
-                order = np.argsort(n, kind="stable")
-                node, component, cells_, n = node[order], component[order], cells_[order], n[order]
-                ends = np.searchsorted(n, 4 * n // 3, "right")
-                for i in range(len(node)):  # from each set to those of its size up to 4/3 of it
-                    to = i + 1 + np.flatnonzero(component[i + 1 : ends[i]] != component[i])
-                    to = to[close(cells_[i], cells_[to])] if len(to) else to
-                    if len(to):
-                        out.append(np.stack([np.minimum(node[to], node[i]), np.maximum(node[to], node[i])], 1))
-                        held += len(to)
+                flat = members.values
+                for pairs in possible_pairs(np.asarray(flat.field(0)), np.asarray(flat.field(1)), flat.field(2).to_pylist()):
+                    out.append(pairs)
+                    held += len(pairs)
                     if held > 500_000:
-                        some, out, held = np.unique(np.concatenate(out), axis=0), [], 0
-                        yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
-            if held:
-                some = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
+                        yield unique_pairs(out)
+                        out, held = [], 0
+            if out:
+                yield unique_pairs(out)
 
     pairs = listed.select("members").mapInArrow(cross, "a long, b long").distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = shared(pairs.join(tried, ["a", "b"], "left_anti"))
+    freed(docs)
     more = shared(checked(pairs, docs)) if pairs.limit(1).count() else None
     if more is not None and more.limit(1).count():
         labels = components(first.union(more))
@@ -367,10 +398,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .join(own, "cls", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
     )
-
-
-def swapped(column: pa.Array) -> np.ndarray:
-    """Rows of n in the machine's byte order, then cells."""
-    out = rows_of(column).copy()
-    out[:, :4] = out[:, 3::-1]
-    return out
