@@ -34,7 +34,7 @@ SHIFT = U(64 - 19)
 #: Signatures that a task gathers before it deals them out to buckets.
 FLUSH = 1_000_000
 #: Least logarithm of the number of cells in which two sets are compared before their shingles are moved.
-LEAST_LEVEL, MOST_FINE = 4, 9
+LEAST_LEVEL = 6
 
 
 def bands(largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -64,34 +64,34 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def level(sizes: np.ndarray) -> np.ndarray:
-    """Logarithm of the number of cells of sets of these sizes: two to four shingles a cell up to 256 cells, then four to eight."""
-    fine = np.frexp(np.maximum(sizes, 1))[1] - 1
-    return np.where(fine <= MOST_FINE, np.maximum(fine - 1, LEAST_LEVEL), np.maximum(fine - 2, MOST_FINE - 1)).astype(np.int64)
+    """Logarithm of the number of cells of sets of these sizes: two to four cells for each shingle."""
+    return np.maximum(np.frexp(np.maximum(sizes, 1))[1] + 1, LEAST_LEVEL).astype(np.int64)
 
 
 def cells(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Size of each set in 4 bytes, and how many of its shingles fall into each cell (255 at most)."""
+    """Size of each set in 4 bytes, then for each cell one bit: whether the number of shingles in it is odd."""
     sizes = np.diff(offsets)
     width = 1 << level(sizes)
     start = np.concatenate([[0], np.cumsum(width)])
     place = (values >> U(7)).astype(np.int64) & np.repeat(width - 1, sizes)
-    out = np.minimum(np.bincount(np.repeat(start[:-1], sizes) + place, minlength=start[-1]), 255).astype(np.uint8).tobytes()
+    out = np.packbits((np.bincount(np.repeat(start[:-1], sizes) + place, minlength=start[-1]) & 1).astype(bool)).tobytes()
+    start >>= 3
     return [n.to_bytes(4, "little") + out[a:b] for n, a, b in zip(sizes.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True)]
 
 
-def sized(raw: bytes, to: int | None = None) -> tuple[int, np.ndarray]:
-    """Size of a set and its cells, folded to a level."""
-    out = np.frombuffer(raw, np.uint8, offset=4).astype(np.int16)
-    while to is not None and len(out) > 1 << to:
-        out = out.reshape(2, -1).sum(0, dtype=np.int16)
-    return int.from_bytes(raw[:4], "little"), out
+def folded_cells(raw: bytes, size: int) -> np.ndarray:
+    """The cells in 64-bit words, folded to ``size`` bytes."""
+    out = np.frombuffer(raw, np.uint8, offset=4)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return np.ascontiguousarray(out).view(U)
 
 
 def possible(a: bytes, b: bytes) -> bool:
-    """Whether cells leave a link possible: the difference of two sets is at least the sum of their cells' differences, and at most a seventh of their sizes' sum."""
-    to = min(len(a), len(b)) - 4
-    (n, x), (m, y) = sized(a, to.bit_length() - 1), sized(b, to.bit_length() - 1)
-    return 100 * min(n, m) >= 75 * max(n, m) and 7 * int(np.abs(x - y).sum(dtype=np.int64)) <= n + m
+    """Whether cells leave a link possible: two sets differ in at least as many shingles as they differ in cells, and linked ones in at most a seventh of their sizes' sum."""
+    n, m = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
+    size = min(len(a), len(b)) - 4
+    return 100 * min(n, m) >= 75 * max(n, m) and 7 * int(np.bitwise_count(folded_cells(a, size) ^ folded_cells(b, size)).sum(dtype=np.int64)) <= n + m
 
 
 def possible_pairs(node: np.ndarray, component: np.ndarray, raw: list[bytes]) -> Iterator[np.ndarray]:
@@ -102,11 +102,11 @@ def possible_pairs(node: np.ndarray, component: np.ndarray, raw: list[bytes]) ->
     ends, levels = np.searchsorted(n, 4 * n // 3, "right"), level(n)
     for to in np.unique(levels).tolist():
         first, last = np.searchsorted(levels, to), np.searchsorted(levels, to, "right")
-        some = np.stack([sized(x, to)[1] for x in raw[first : ends[last - 1]]])
+        some = np.stack([folded_cells(x, 1 << (to - 3)) for x in raw[first : ends[last - 1]]])
         for i in range(first, last):
             near = i + 1 + np.flatnonzero(component[i + 1 : ends[i]] != component[i])
             if len(near):
-                apart = np.abs(some[near - first] - some[i - first]).sum(1, dtype=np.int64)
+                apart = np.bitwise_count(some[near - first] ^ some[i - first]).sum(1, dtype=np.int64)
                 near = near[7 * apart <= n[near] + n[i]]
                 if len(near):
                     yield np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], 1)
