@@ -29,6 +29,18 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that go to a Python worker at a time; texts and sets vary in size, so the default of 10,000 may hold hundreds of MB.
+BATCH_ROWS = 500
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Keep the session's Arrow batches small."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def freed(df: DataFrame) -> None:
     """Let Spark's cleaner drop shuffle files of frames that are no longer in use; it learns of them from the driver's garbage collector."""
     gc.collect()
@@ -43,10 +55,12 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, mix, partitions, shared
+from .common import SPACE, U, bounded, mix, partitions, shared
 
 #: Digests for each shard, about; and shards at least for each shuffle partition.
 SHARD_ROWS, SPREAD = 100_000, 4
@@ -36,11 +36,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            raw = [hashlib.sha256(x.encode("utf-8").translate(None, SPACE)).digest() for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([len(x) for x in texts], pa.int64())], ["doc_id", "digest", "length"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, length long")
+            raw, sizes = [], []
+            for x in batch.column(1):
+                text = x.as_py() or ""
+                raw.append(hashlib.sha256(text.encode("utf-8").translate(None, SPACE)).digest())
+                sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "digest", "length"])
+
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, length long")
 
 
 def grouped(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U, marked, row_sums, shared, slices, strings, windows, words
+from .common import IS_SPACE, U, bounded, marked, row_sums, shared, slices, strings, windows, words
 
 SAMPLE, BINS, PAIRS, PAIR_BINS = 20_000, 32, 6, 8
 ROUNDS, PAIR_ROUNDS, STEP, LEAVES, L2, LEAST = 120, 60, 0.1, 4, 1.0, 5
@@ -185,7 +185,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U, distinct, freed, mix, partitions, row_sums, shared, slices, strings, windows, words
+from .common import IS_SPACE, U, bounded, distinct, freed, mix, partitions, row_sums, shared, slices, strings, windows, words
 
 #: Hashed counters that order signatures by how common they are.
 COUNTERS = 1 << 19
 SHIFT = U(64 - 19)
 #: Signatures that a task gathers before it deals them out to buckets.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Least logarithm of the number of cells in which two sets are compared before their shingles are moved.
 LEAST_LEVEL = 6
 
@@ -339,7 +339,7 @@ def unique_pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and class_size (documents with an equal set)."""
-    table = shared(class_table(docs))
+    table = shared(class_table(bounded(docs)))
     rows = table.filter("block IS NULL").select("doc_id", "cls", "cls2", "n_shingles")
     common = folded(table.filter("block IS NOT NULL").select("block", "content"), COUNTERS, np.int32, np.add)
     groups = shared(signature_groups(docs, common).groupBy("gid").agg(F.first("members").alias("members"), F.sum("weight").alias("weight")))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import bounded, strings
 from .gam import held_out
 from .jaccard import BLOCKS, blocks, folded
 
@@ -150,6 +150,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
+    bounded(docs)
     model = train(docs)
 
     def run(batches):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, SHINGLE_WORDS, U, slices, strings, windows, words
+from .common import IS_WORD, SHINGLE_WORDS, U, bounded, slices, strings, windows, words
 
 COVERAGE = 0.75
 #: Words of items that are broadcast, at 16 bytes each: 64 MB.
@@ -122,6 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE
     """A row for each document and item whose tiles cover at least ``least`` of the item."""
     docs, benchmark = _plain(docs, "doc_id"), _plain(benchmark, "item_id")
     items = broadcastable(benchmark)
+    bounded(docs)
     if items is None:
         return by_join(docs, benchmark, least)
 
@@ -165,6 +166,7 @@ def by_join(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> D
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """The documents, all columns, that contain no item; in one pass while items are broadcast."""
     items = broadcastable(_plain(benchmark, "item_id"))
+    bounded(docs)
     if items is None:
         return docs.join(by_join(docs, benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti")
     at = docs.columns.index("text")
