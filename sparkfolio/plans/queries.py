@@ -196,8 +196,8 @@ def period_usage(spark, d):
 
 
 @query("""WITH e AS (SELECT l_orderkey AS reservation_id, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'held' ELSE ['completed', 'missing', 'rejected', 'error', 'held', 'ping'][1 + l_partkey % 6] END AS event FROM lineitem),
-h AS (SELECT reservation_id, min(seq) AS h FROM e WHERE event = 'held' GROUP BY 1), f AS (SELECT h.reservation_id, min_by(event, seq) FILTER (event IN ('completed', 'missing', 'rejected', 'error') AND seq > h) AS x FROM h JOIN e ON e.reservation_id = h.reservation_id GROUP BY 1)
-SELECT reservation_id, CASE x WHEN 'completed' THEN 'settled' WHEN 'rejected' THEN 'released' WHEN 'missing' THEN 'uncertain' WHEN 'error' THEN 'uncertain' ELSE 'held' END AS state, x IS NULL OR x IN ('missing', 'error') AS open FROM f""")
+h AS (SELECT reservation_id, min(seq) AS h FROM e WHERE event = 'held' GROUP BY 1), f AS (SELECT h.reservation_id, min_by(event, (seq, event)) FILTER (event IN ('completed', 'missing', 'rejected', 'error') AND (seq, event) > (h, 'held')) AS x FROM h JOIN e ON e.reservation_id = h.reservation_id GROUP BY 1)
+SELECT reservation_id, CASE x WHEN 'completed' THEN 'settled' WHEN 'rejected' THEN 'released' WHEN 'missing' THEN 'uncertain' WHEN 'error' THEN 'uncertain' ELSE 'held' END AS state, (x IS NULL OR x IN ('missing', 'error')) AS open FROM f""")
 def open_holds(spark, d):
     return metering.open_holds(_hold_events(spark, d))
 
