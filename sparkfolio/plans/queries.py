@@ -189,10 +189,10 @@ def ai_cost(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "model", F.round(numbers.token_cost(F.col("model"), part(10000), part(10), part(20)).cast("double"), 10).alias("cost"))
 
 
-@query(f"""WITH p AS (SELECT o_custkey AS user_id, o_orderkey AS period_id, o_orderdate AS s, o_orderdate + INTERVAL 1 MONTH AS t FROM orders WHERE o_custkey <= 150), e AS ({USAGE})
+@query(f"""WITH p AS (SELECT o_custkey AS user_id, o_orderkey AS period_id, o_orderdate AS s, o_orderdate + INTERVAL 1 MONTH AS t FROM orders), e AS ({USAGE})
 SELECT p.user_id, p.period_id, coalesce(sum(cost) FILTER (ts >= s AND ts < t), 0)::DECIMAL(20,10) AS cost FROM p LEFT JOIN e ON e.user_id = p.user_id GROUP BY ALL""")
 def period_usage(spark, d):
-    return metering.period_usage(tables.usage_events(spark, d), tables.periods(spark, d).filter("user_id <= 150"))
+    return metering.period_usage(tables.usage_events(spark, d), tables.periods(spark, d))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS reservation_id, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'held' ELSE ['completed', 'missing', 'rejected', 'error', 'held', 'ping'][1 + l_partkey % 6] END AS event FROM lineitem),
@@ -239,10 +239,9 @@ def chunk_dedup(spark, d):
     return documents.dedup_exact(_pages(spark, d), ["doc_id", "text"], "page", "doc_id").select("doc_id", "page", "new_number")
 
 
-@query(f"""WITH p AS ({PAGES}), r AS (SELECT doc_id, page, text AS body FROM p WHERE doc_id < 200 AND length(text) > 0), j AS (SELECT a.doc_id, a.page, b.page AS owner, row_number() OVER (PARTITION BY a.doc_id, a.page ORDER BY length(b.body) DESC, b.page) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND contains(b.body, a.body)) SELECT doc_id, page, owner::INTEGER AS owner FROM j WHERE n = 1""")
+@query(f"""WITH p AS ({PAGES}), r AS (SELECT doc_id, page, text AS body FROM p WHERE length(text) > 0), j AS (SELECT a.doc_id, a.page, b.page AS owner, row_number() OVER (PARTITION BY a.doc_id, a.page ORDER BY length(b.body) DESC, b.page) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND contains(b.body, a.body)) SELECT doc_id, page, owner::INTEGER AS owner FROM j WHERE n = 1""")
 def context_reuse(spark, d):
-    # the operator works on a ranked context, which is bounded: here the first 200 documents are that context
-    rows = _pages(spark, d).filter("doc_id < 200 AND length(text) > 0").select("doc_id", F.col("text").alias("body"), "page")
+    rows = _pages(spark, d).filter("length(text) > 0").select("doc_id", F.col("text").alias("body"), "page")
     return documents.context_owner(rows, ["doc_id"], "page")
 
 
@@ -333,13 +332,13 @@ def cascade_delete(spark, d):
     return rewrites.cascade_delete(o, tables.read(spark, d, "lineitem"), "l_orderkey", "o_orderstatus = 'F'")[1].select("l_orderkey", "l_linenumber")
 
 
-BOX = "doc_id % 50 AS page, doc_id AS id, (doc_id * 37 % 100)::DOUBLE AS x0, (doc_id * 53 % 100)::DOUBLE AS y0, (doc_id * 37 % 100 + 12)::DOUBLE AS x1, (doc_id * 53 % 100 + 9)::DOUBLE AS y1"
+BOX = "doc_id // 20 AS page, doc_id AS id, (doc_id * 37 % 100)::DOUBLE AS x0, (doc_id * 53 % 100)::DOUBLE AS y0, (doc_id * 37 % 100 + 12)::DOUBLE AS x1, (doc_id * 53 % 100 + 9)::DOUBLE AS y1"
 
 
-@query(f"WITH b AS (SELECT {BOX} FROM documents WHERE doc_id < 1000) SELECT a.page, a.id AS a_id, b.id AS b_id FROM b a JOIN b ON a.page = b.page AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AND a.id < b.id")
+@query(f"WITH b AS (SELECT {BOX} FROM documents) SELECT a.page, a.id AS a_id, b.id AS b_id FROM b a JOIN b ON a.page = b.page AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0 AND a.id < b.id")
 def bbox_overlap(spark, d):
-    # boxes are made from ids, 20 on a page
-    b = tables.read(spark, d, "documents").filter("doc_id < 1000").selectExpr(*[x.replace("::DOUBLE", "").replace("(", "double(") if "(" in x else x for x in BOX.split(", ")])
+    # boxes are made from ids, up to 20 on a page
+    b = tables.read(spark, d, "documents").selectExpr("doc_id div 20 AS page", "doc_id AS id", "double(doc_id * 37 % 100) AS x0", "double(doc_id * 53 % 100) AS y0", "double(doc_id * 37 % 100 + 12) AS x1", "double(doc_id * 53 % 100 + 9) AS y1")
     return grids.overlaps(b, b, "page").filter("a_id < b_id")
 
 
