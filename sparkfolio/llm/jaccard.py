@@ -350,8 +350,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the member that shares the most signatures with others stands for a group (the original, if the others are copies of it);
     # each class is checked against the one of these partners that it shares the most signatures with
     flat = groups.select("gid", F.explode("members").alias("node"), "weight", (F.col("weight") * (F.size("members") - 1)).alias("links"))
-    central = flat.join(flat.groupBy("node").agg(F.sum("links").alias("degree")), "node").groupBy("gid").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
-    stars = flat.join(central, "gid").withColumnRenamed("node", "b").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
+    degree = flat.groupBy("node").agg(F.sum("links").alias("degree"))
+    central = flat.join(degree, "node").groupBy("gid").agg(F.max_by("node", F.struct("degree", "node")).alias("a"), F.collect_list("node").alias("members"), F.first("weight").alias("weight"))
+    stars = central.select("a", F.explode("members").alias("b"), "weight").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", F.negate("a"))).alias("a"))
     best = best.join(cell.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a").join(cell.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b")
 
@@ -364,9 +365,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(first)
     freed(docs)
     # groups whose members are still apart: all their pairs across components that cells leave possible
-    member = groups.select("gid", F.explode("members").alias("node")).join(labels, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
-    apart = member.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid")
-    listed = member.join(apart, "gid").join(cell.withColumnRenamed("cls", "node"), "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "cells")).alias("members"))
+    named = groups.select("gid", F.explode("members").alias("node")).join(labels, "node", "left").groupBy("gid").agg(F.collect_list(F.struct("node", F.coalesce("component", "node").alias("component"))).alias("members"))
+    apart = named.filter(F.array_min("members.component") < F.array_max("members.component")).select("gid", F.explode("members").alias("m")).select("gid", "m.*")
+    listed = apart.join(cell.withColumnRenamed("cls", "node"), "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "cells")).alias("members"))
 
     def cross(batches):
         for batch in batches:
