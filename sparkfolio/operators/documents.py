@@ -88,3 +88,23 @@ def multiset_difference(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame
     n = lambda t, name: t.groupBy(*key).agg(F.count("*").alias(name))
     both = n(a, "x").join(n(b, "y"), key, "full").na.fill(0, ["x", "y"])
     return both.filter("x <> y").select(*key, F.greatest(F.lit(0).cast("long"), F.col("x") - F.col("y")).alias("missing"), F.greatest(F.lit(0).cast("long"), F.col("y") - F.col("x")).alias("extra"))
+
+
+def context_labels(rows: DataFrame, request: str, index: str, document: str, path: str) -> DataFrame:
+    """Labels of evidence in first-seen order of a request: E of the row, D of its document, H of its path inside the document (null without a path) and parent, the H one level up."""
+    first = rows.groupBy(request, document).agg(F.min(index).alias("_i"))
+    docs = first.select(request, document, F.concat(F.lit("D"), F.row_number().over(Window.partitionBy(request).orderBy("_i"))).alias("document_label"))
+    prefixes = rows.filter(F.size(path) > 0).select(request, index, document, F.col(path).alias("_p"), F.explode(F.sequence(F.lit(1), F.size(path))).alias("_d")).withColumn("_p", F.slice("_p", F.lit(1), F.col("_d")))
+    seen = prefixes.groupBy(request, document, "_p").agg(F.min(F.struct(index, "_d")).alias("_i"))
+    label = seen.select(request, document, "_p", F.concat(F.lit("H"), F.row_number().over(Window.partitionBy(request).orderBy("_i"))).alias("hierarchy"))
+    evidence = F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(request).orderBy(index))).alias("evidence")
+    out = rows.select(request, index, document, F.col(path).alias("_p"), evidence).withColumn("_up", F.when(F.size("_p") > 1, F.slice("_p", F.lit(1), F.greatest(F.lit(0), F.size("_p") - 1))))
+    up = label.select(request, document, F.col("_p").alias("_up"), F.col("hierarchy").alias("parent"))
+    return out.join(docs, [request, document]).join(label, [request, document, "_p"], "left").join(up, [request, document, "_up"], "left").select(request, index, "evidence", "document_label", "hierarchy", "parent")
+
+
+def chunk_problems(chunks: DataFrame, nodes: DataFrame, document: str, order: list[str], number: str, page: str, node: str) -> DataFrame:
+    """Per document: chunks whose node isn't known, whether numbers run 1, 2, … in order, and whether pages never go back."""
+    w = Window.partitionBy(document).orderBy(*order)
+    rows = chunks.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag(page).over(w)).join(nodes.select(F.col(node)).distinct().withColumn("_known", F.lit(True)), node, "left")
+    return rows.groupBy(document).agg(F.count(F.when(F.col("_known").isNull(), 1)).alias("invalid_nodes"), F.every(F.col(number) == F.col("_n")).alias("sequential"), F.every(F.coalesce(F.col("_before") <= F.col(page), F.lit(True))).alias("pages_in_order"))

@@ -61,3 +61,54 @@ def lines_of_words(words: Column, gap: float = 3.0) -> Column:
         return F.struct(F.when(new, top).otherwise(a["first"]).alias("first"), line.alias("line"), F.array_append(a["out"], line).alias("out"))
 
     return F.aggregate(F.array_sort(words), start, step, lambda a: a["out"])
+
+
+def matrix_problems(profile: DataFrame, tables: DataFrame) -> DataFrame:
+    """document_id, position, problem: how returned tables (columns, row_count, rows of row_number, cells, source_pages) differ from the profile (data_row_count) at the same position."""
+    at, facts = ["document_id", "position"], ["table_id", "title", "start_page", "end_page", "column_count"]
+    p = profile.select(*at, *(F.col(c).alias(f"x_{c}") for c in [*facts, "data_row_count"]), F.lit(True).alias("wanted"))
+    both = p.join(tables.withColumn("given", F.lit(True)), at, "full")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    wide = F.col("x_column_count")
+
+    def row(r, i):
+        name = F.concat(F.lit("row "), (i + 1).cast("string"))
+        pages = r["source_pages"]
+        return F.array(
+            F.when(~r["row_number"].eqNullSafe(i + 1), F.concat(name, F.lit(": number"))),
+            F.when(size(r["cells"]) != wide, F.concat(name, F.lit(": cells"))),
+            F.when(size(pages) == 0, F.concat(name, F.lit(": no pages"))).when(F.exists(pages, lambda x: ~x.between(F.col("x_start_page"), F.col("x_end_page"))), F.concat(name, F.lit(": pages outside"))),
+        )
+
+    whole = [F.when(~F.col(c).eqNullSafe(F.col(f"x_{c}")), F.lit(c)) for c in facts]
+    whole += [F.when(size("columns") != wide, F.lit("headings")), F.when(~F.col("row_count").eqNullSafe(F.col("x_data_row_count")) | (size("rows") != F.col("x_data_row_count")), F.lit("row_count"))]
+    found = F.concat(F.array(*whole), F.coalesce(F.flatten(F.transform("rows", row)), F.array().cast("array<string>")))
+    kind = F.when(F.col("given").isNull(), F.array(F.lit("missing"))).when(F.col("wanted").isNull(), F.array(F.lit("unexpected"))).otherwise(found)
+    return both.select(*at, F.explode(F.array_compact(kind)).alias("problem"))
+
+
+def _folded(values: Column, within: float = 0.1) -> Column:
+    """Distinct sorted coordinates; one within 0.1 of the last that stayed is the same line."""
+    return F.aggregate(F.array_sort(values), F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > within), F.array_append(a, x)).otherwise(a))
+
+
+def row_spans(boxes: DataFrame) -> DataFrame:
+    """fragment_id, spans: for each row of cells from the top, the columns (from 1) between which each covering cell (x0, y0, x1, y1) lies."""
+    c = boxes.groupBy("fragment_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("b"))
+    c = c.withColumn("xs", _folded(F.concat("b.x0", "b.x1"))).withColumn("ys", _folded(F.concat("b.y0", "b.y1")))
+
+    def place(x):
+        far = F.transform("xs", lambda e: F.abs(e - x))
+        return F.array_position(far, F.array_min(far)).cast("int")
+
+    def spans(i):
+        inside = F.filter("b", lambda b: (b["y0"] <= F.get("ys", i) + 0.1) & (b["y1"] >= F.get("ys", i + 1) - 0.1))
+        return F.array_sort(F.transform(inside, lambda b: F.struct(place(b["x0"]).alias("start"), place(b["x1"]).alias("end"))))
+
+    return c.filter("size(ys) > 1").select("fragment_id", F.transform(F.sequence(F.lit(0), F.size("ys") - 2), spans).alias("spans"))
+
+
+def rows_compatible(before: Column, after: Column) -> Column:
+    """Whether the first row of the fragment after is spanned as one of the last three rows of the fragment before; false without rows."""
+    last = F.slice(F.reverse(before), 1, 3)
+    return F.coalesce(F.array_contains(last, F.get(after, F.lit(0))), F.lit(False))

@@ -6,7 +6,7 @@ import datetime as dt
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -366,6 +366,46 @@ def table_text(spark, d):
     return grids.table_text(grids.cells(rows))
 
 
+@query("""WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN [role] ELSE [role, string_split(coalesce(text, ''), ' ')[1]] END AS p FROM conversations),
+d AS (SELECT conv_id, role, 'D' || row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS document_label FROM r GROUP BY 1, 2),
+x AS (SELECT conv_id, role, turn, 1 AS n, p[1:1] AS q FROM r UNION ALL SELECT conv_id, role, turn, 2, p FROM r WHERE len(p) > 1),
+h AS (SELECT conv_id, role, q, 'H' || row_number() OVER (PARTITION BY conv_id ORDER BY min(turn * 10 + n)) AS hierarchy FROM x GROUP BY 1, 2, 3)
+SELECT r.conv_id, r.turn, 'E' || row_number() OVER (PARTITION BY r.conv_id ORDER BY r.turn) AS evidence, document_label, h.hierarchy, u.hierarchy AS parent
+FROM r JOIN d ON d.conv_id = r.conv_id AND d.role = r.role JOIN h ON h.conv_id = r.conv_id AND h.role = r.role AND h.q = r.p LEFT JOIN h u ON u.conv_id = r.conv_id AND u.role = r.role AND len(r.p) > 1 AND u.q = r.p[1:1]""")
+def context_legend(spark, d):
+    rows = tables.read(spark, d, "conversations").withColumn("path", F.when(F.col("turn") % 3 == 0, F.array("role")).otherwise(F.array("role", F.split(F.coalesce("text", F.lit("")), " ")[0])))
+    return documents.context_labels(rows, "conv_id", "turn", "role", "path")
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER w AS n, lag(l_suppkey) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey)), k AS (SELECT p_partkey FROM part WHERE p_size <= 25)
+SELECT l_orderkey, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM k)) AS invalid_nodes, bool_and(l_linenumber = n) AS sequential, bool_and(b IS NULL OR b <= l_suppkey) AS pages_in_order FROM c GROUP BY 1""")
+def chunk_violations(spark, d):
+    parts = tables.read(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
+    return documents.chunk_problems(tables.read(spark, d, "lineitem"), parts, "l_orderkey", ["l_shipdate", "l_linenumber", "l_partkey"], "l_linenumber", "l_suppkey", "l_partkey")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS ln, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS i FROM lineitem), n AS (SELECT o, count(*) AS n FROM l GROUP BY 1), x AS (SELECT o_orderkey AS o, n, 2 + o_orderkey % 2 AS w FROM orders LEFT JOIN n ON n.o = o_orderkey)
+SELECT o AS document_id, problem FROM (SELECT o, 'missing' AS problem FROM x WHERE n IS NULL UNION ALL SELECT o, unnest(['column_count', 'headings']) FROM x WHERE n IS NOT NULL AND w <> 2 UNION ALL SELECT o, 'row_count' FROM x WHERE n <> 4
+UNION ALL SELECT l.o, 'row ' || i || ': number' FROM l WHERE ln <> i UNION ALL SELECT l.o, 'row ' || i || ': cells' FROM l JOIN x USING (o) WHERE w <> 2 UNION ALL SELECT l.o, 'row ' || i || ': pages outside' FROM l WHERE ln > 4)""")
+def table_matrix_problems(spark, d):
+    o = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(0).alias("position"), F.col("o_orderkey").cast("string").alias("table_id"), F.lit("lines").alias("title"), F.lit(1).alias("start_page"), F.lit(4).alias("end_page"), (F.col("o_orderkey") % 2 + 2).cast("int").alias("column_count"), F.lit(4).alias("data_row_count"))
+    rows = tables.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus"))).alias("r"))
+    shape = F.transform("r", lambda x: F.struct(x["l_linenumber"].alias("row_number"), F.array(x["l_returnflag"], x["l_linestatus"]).alias("cells"), F.array(x["l_linenumber"]).alias("source_pages")))
+    t = rows.select("document_id", F.lit(0).alias("position"), F.col("document_id").cast("string").alias("table_id"), F.lit("lines").alias("title"), F.lit(1).alias("start_page"), F.lit(4).alias("end_page"), F.lit(2).alias("column_count"), F.array(F.lit("flag"), F.lit("status")).alias("columns"), F.size("r").alias("row_count"), shape.alias("rows"))
+    return grids.matrix_problems(o, t).select("document_id", "problem")
+
+
+BOXES = [(1, 0.0, 0.0, 10.0, 5.0), (1, 10.0, 0.0, 30.05, 5.0), (1, 0.0, 5.0, 30.0, 9.0), (2, 0.0, 0.0, 12.0, 4.0), (2, 12.0, 0.0, 30.0, 4.0), (3, 0.0, 0.0, 8.0, 4.0), (3, 8.0, 0.0, 16.0, 4.0), (3, 16.0, 0.0, 30.0, 4.0), (4, 0.0, 1.0, 8.0, 3.0), (4, 8.0, 1.0, 16.0, 3.0), (4, 16.0, 1.0, 30.0, 3.0)]
+
+
+@query("SELECT * FROM (VALUES (1, NULL), (2, true), (3, false), (4, true)) AS t(fragment_id, compatible)")
+def row_span_match(spark, d):
+    s = grids.row_spans(spark.createDataFrame(BOXES, "fragment_id int, x0 double, y0 double, x1 double, y1 double"))
+    before = F.lag("spans").over(Window.partitionBy("document_id").orderBy("fragment_id"))
+    s = s.withColumn("document_id", F.lit(1)).withColumn("before", before)
+    return s.select("fragment_id", F.when(F.col("before").isNotNull(), grids.rows_compatible(F.col("before"), F.col("spans"))).alias("compatible"))
+
+
 @query()
 def flatten_tree(spark, d):
     n, r = tables.read(spark, d, "nation"), tables.read(spark, d, "region")

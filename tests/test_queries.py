@@ -88,3 +88,19 @@ def test_rewrites_on_empty_tables(spark):
 def test_lines_start_from_their_first_word(spark):
     df = spark.createDataFrame([([10.0, 12.0, 14.0, 30.0],)], "t array<double>")
     assert df.select(grids.lines_of_words(df.t)).first()[0] == [1, 1, 2, 3]
+
+
+def test_matrix_problems_by_kind(spark):
+    head = "document_id int, position int, table_id string, title string, start_page int, end_page int, column_count int, "
+    profile = spark.createDataFrame([(1, 0, "t", "T", 2, 3, 2, 2), (1, 1, "u", "U", 2, 3, 1, 1), (2, 0, "v", None, 1, 1, 1, 0)], head + "data_row_count int")
+    given = [(1, 0, "t", "other", 2, 3, 2, ["a", "b"], 2, [(1, ["x", "y"], [2]), (3, ["x"], [4]), (3, ["x", "y"], [])]), (2, 0, "v", None, 1, 1, 1, ["a"], 0, None), (3, 0, "w", "W", 1, 1, 1, ["a"], 0, [])]
+    rows = spark.createDataFrame(given, head + "columns array<string>, row_count int, rows array<struct<row_number int, cells array<string>, source_pages array<int>>>")
+    got = {(r.document_id, r.position, r.problem) for r in grids.matrix_problems(profile, rows).collect()}
+    first = {"title", "row_count", "row 2: number", "row 2: cells", "row 2: pages outside", "row 3: no pages"}
+    assert got == {(1, 0, p) for p in first} | {(1, 1, "missing"), (3, 0, "unexpected")}
+
+
+def test_labels_follow_first_sight(spark):
+    rows = spark.createDataFrame([(1, 1, "a", ["p", "q"]), (1, 2, "b", ["p"]), (1, 3, "a", ["p"]), (1, 4, "a", [])], "r int, i int, d string, p array<string>")
+    got = [tuple(r)[2:] for r in documents.context_labels(rows, "r", "i", "d", "p").orderBy("i").collect()]
+    assert got == [("E1", "D1", "H2", "H1"), ("E2", "D2", "H3", None), ("E3", "D1", "H1", None), ("E4", "D1", None, None)]
