@@ -52,3 +52,22 @@ def purge(messages: DataFrame, conversations: DataFrame, before) -> tuple[DataFr
     """What stays: messages from ``before`` on; conversations that are as young or still have a message."""
     kept = messages.filter(F.col("created_at") >= F.lit(before))
     return kept, conversations.join(kept.select("conversation_id").distinct().withColumn("has", F.lit(True)), "conversation_id", "left").filter((F.col("created_at") >= F.lit(before)) | F.col("has")).drop("has")
+
+
+#: Subscription states that leave room for a single pass.
+PASS_STATES = ["none", "canceled", "incomplete_expired"]
+
+
+def billing_status(accounts: DataFrame, passes: DataFrame, periods: DataFrame, now) -> DataFrame:
+    """What a user has: the latest paid pass if there is no live subscription, else the subscription with its latest period; and whether a payment is under review."""
+    last = lambda on: F.max(F.when(on, F.struct("period_start", "period_end")))["period_end"]
+    p = passes.groupBy("user_id").agg(last(F.col("status") == "paid").alias("paid_end"), F.some(F.col("status") == "review").alias("review"))
+    s = periods.groupBy("user_id", "subscription_id").agg(last(F.lit(True)).alias("paid_to"))
+    rows = accounts.join(p, "user_id", "left").join(s, ["user_id", "subscription_id"], "left")
+    free = F.col("subscription_id").isNull() | F.col("subscription_status").isin(PASS_STATES)
+    rows = rows.withColumn("pass_end", F.when(free, F.col("paid_end")))
+    has = F.col("pass_end").isNotNull()
+    return rows.select(
+        "user_id", F.when(has, F.when(F.col("pass_end") > F.lit(now), "pass_active").otherwise("pass_expired")).otherwise(F.col("subscription_status")).alias("status"), F.when(has, "fpx").otherwise("subscription").alias("access_type"),
+        (~has & F.col("cancel_at_period_end")).alias("cancels"), F.coalesce("pass_end", "paid_to").alias("period_end"), F.coalesce("review", F.lit(False)).alias("payment_review"),
+    )

@@ -308,6 +308,16 @@ def retention_purge(spark, d):
     return c.select("conv_id", "turn").join(kept.select(F.col("conversation_id").alias("conv_id"), F.lit(True).alias("stays")), "conv_id", "left").select("conv_id", "turn", F.coalesce("stays", F.lit(False)).alias("stays"))
 
 
+@query("""WITH a AS (SELECT c_custkey AS u, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AS sub, ['active', 'none', 'canceled', 'past_due', 'trialing'][1 + c_custkey % 5] AS st, c_custkey % 2 = 0 AS cancels FROM customer),
+o AS (SELECT o_custkey AS u, o_orderkey % 4 AS sub, o_orderstatus AS st, o_orderdate + INTERVAL 1 MONTH AS e FROM orders), p AS (SELECT u, max(e) FILTER (st = 'O') AS paid, bool_or(st = 'F') AS review FROM o GROUP BY 1), s AS (SELECT u, sub, max(e) AS e FROM o GROUP BY 1, 2),
+x AS (SELECT a.*, CASE WHEN a.sub IS NULL OR a.st IN ('none', 'canceled') THEN paid END AS pass, s.e, review FROM a LEFT JOIN p ON p.u = a.u LEFT JOIN s ON s.u = a.u AND s.sub = a.sub)
+SELECT u AS user_id, CASE WHEN pass > TIMESTAMP '1997-01-01' THEN 'pass_active' WHEN pass IS NOT NULL THEN 'pass_expired' ELSE st END AS status, CASE WHEN pass IS NULL THEN 'subscription' ELSE 'fpx' END AS access_type, pass IS NULL AND cancels AS cancels, coalesce(pass, e) AS period_end, coalesce(review, false) AS payment_review FROM x""")
+def billing_status(spark, d):
+    a = tables.read(spark, d, "customer").selectExpr("c_custkey AS user_id", "CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AS subscription_id", "element_at(array('active', 'none', 'canceled', 'past_due', 'trialing'), int(1 + c_custkey % 5)) AS subscription_status", "c_custkey % 2 = 0 AS cancel_at_period_end")
+    o = tables.read(spark, d, "orders").selectExpr("o_custkey AS user_id", "o_orderkey % 4 AS subscription_id", "CASE o_orderstatus WHEN 'O' THEN 'paid' WHEN 'F' THEN 'review' ELSE 'open' END AS status", "CAST(o_orderdate AS TIMESTAMP) AS period_start", "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 MONTH AS period_end")
+    return metering.billing_status(a, o, o, dt.datetime(1997, 1, 1))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1995-06-01' THEN 'failed' ELSE o_orderstatus END AS status FROM orders")
 def stale_processing(spark, d):
     o = tables.read(spark, d, "orders")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from sparkfolio.functions import numbers, text
-from sparkfolio.operators import documents, grids, rewrites, trees
+from sparkfolio.operators import documents, grids, metering, rewrites, trees
 from sparkfolio.plans import queries as plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -104,3 +104,12 @@ def test_labels_follow_first_sight(spark):
     rows = spark.createDataFrame([(1, 1, "a", ["p", "q"]), (1, 2, "b", ["p"]), (1, 3, "a", ["p"]), (1, 4, "a", [])], "r int, i int, d string, p array<string>")
     got = [tuple(r)[2:] for r in documents.context_labels(rows, "r", "i", "d", "p").orderBy("i").collect()]
     assert got == [("E1", "D1", "H2", "H1"), ("E2", "D2", "H3", None), ("E3", "D1", "H1", None), ("E4", "D1", None, None)]
+
+
+def test_a_pass_counts_only_without_a_live_subscription(spark):
+    day = lambda n: datetime.datetime(2024, 1, n)
+    a = spark.createDataFrame([(1, None, "none", True), (2, "s", "active", True), (3, "s", "canceled", True), (4, None, "none", False)], "user_id int, subscription_id string, subscription_status string, cancel_at_period_end boolean")
+    passes = spark.createDataFrame([(u, "paid", day(1), day(9)) for u in (1, 2, 3)] + [(3, "paid", day(2), day(20)), (4, "review", day(1), day(30))], "user_id int, status string, period_start timestamp, period_end timestamp")
+    periods = spark.createDataFrame([(2, "s", day(1), day(5)), (2, "s", day(5), day(8))], "user_id int, subscription_id string, period_start timestamp, period_end timestamp")
+    got = [tuple(r) for r in metering.billing_status(a, passes, periods, day(10)).orderBy("user_id").collect()]
+    assert got == [(1, "pass_expired", "fpx", False, day(9), False), (2, "active", "subscription", True, day(8), False), (3, "pass_active", "fpx", False, day(20), False), (4, "none", "subscription", False, None, True)]
