@@ -112,3 +112,21 @@ def rows_compatible(before: Column, after: Column) -> Column:
     """Whether the first row of the fragment after is spanned as one of the last three rows of the fragment before; false without rows."""
     last = F.slice(F.reverse(before), 1, 3)
     return F.coalesce(F.array_contains(last, F.get(after, F.lit(0))), F.lit(False))
+
+
+def with_standalone_tables(nodes: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (document_id, node_id, parent_id, node_type, depth, sequence_no, start_page, start_character, end_page) with a TABLE node under the one closest container of each table (document_id, table_id, start_page, end_page), children of those containers numbered anew by place; and the tables without exactly one such container, with the number of equally close ones."""
+    inner = nodes.filter("upper(node_type) <> 'TABLE' AND start_page IS NOT NULL AND end_page IS NOT NULL").select("document_id", "node_id", "depth", F.col("start_page").alias("node_start"), F.col("end_page").alias("node_end"))
+    ranges = tables.select("document_id", F.col("table_id").alias("range_id"), F.col("start_page").alias("start"), F.col("end_page").alias("end"))
+    found = range_parent(ranges, inner, "document_id").select("document_id", F.col("range_id").alias("table_id"), F.col("node_id").alias("parent_id"), "ties")
+    placed = tables.join(found, ["document_id", "table_id"], "left")
+    problems = placed.filter("parent_id IS NULL").select("document_id", "table_id", F.coalesce("ties", F.lit(0)).alias("containers"))
+    depth = nodes.select("document_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("_depth"))
+    new = placed.filter("parent_id IS NOT NULL").join(depth, ["document_id", "parent_id"]).select(
+        "document_id", F.concat_ws(":", "document_id", "table_id", "start_page", "end_page").alias("node_id"), "parent_id", F.lit("TABLE").alias("node_type"), (F.col("_depth") + 1).alias("depth"), F.lit(0).alias("sequence_no"), "start_page", F.lit(None).cast("int").alias("start_character"), "end_page"
+    )
+    rows = nodes.select(*new.columns).unionByName(new.join(nodes, ["document_id", "node_id"], "left_anti"))
+    grown = found.filter("parent_id IS NOT NULL").select("document_id", "parent_id").distinct().withColumn("_grown", F.lit(True))
+    place = F.row_number().over(Window.partitionBy("document_id", "parent_id").orderBy(F.asc_nulls_last("start_page"), F.asc_nulls_last("start_character"), "sequence_no", "node_id")) - 1
+    out = rows.join(grown, ["document_id", "parent_id"], "left").withColumn("_place", place)
+    return out.withColumn("sequence_no", F.when(F.col("_grown"), F.col("_place")).otherwise(F.col("sequence_no"))).select(*new.columns), problems

@@ -416,6 +416,19 @@ def row_span_match(spark, d):
     return s.select("fragment_id", F.when(F.col("before").isNotNull(), grids.rows_compatible(F.col("before"), F.col("spans"))).alias("compatible"))
 
 
+@query("""WITH n AS (SELECT c_nationkey AS document_id, 'c' || c_custkey AS node_id, CASE WHEN c_custkey > 50 THEN 'c' || (c_custkey - 25) END AS parent_id, 1 + c_custkey % 3 AS depth, c_custkey % 7 AS sequence_no, c_custkey % 50 AS start_page, c_custkey % 50 + 10 + 5 * (c_custkey % 4) AS end_page FROM customer),
+r AS (SELECT s_nationkey AS document_id, s_suppkey AS t, s_suppkey % 40 + 5 AS a, s_suppkey % 40 + 8 AS b FROM supplier), h AS (SELECT r.*, node_id, depth, rank() OVER (PARTITION BY r.document_id, t ORDER BY depth DESC, end_page - start_page) AS k FROM r JOIN n ON n.document_id = r.document_id AND start_page <= a AND end_page >= b),
+f AS (SELECT document_id, t, a, b, min(node_id) AS parent_id, min(depth) AS depth FROM h WHERE k = 1 GROUP BY ALL HAVING count(*) = 1), u AS (SELECT document_id, node_id, parent_id, 'SECTION' AS node_type, depth, sequence_no, start_page, end_page FROM n
+UNION ALL SELECT document_id, document_id || ':' || t || ':' || a || ':' || b, parent_id, 'TABLE', depth + 1, 0, a, b FROM f)
+SELECT document_id, node_id, parent_id, node_type, depth, CASE WHEN (document_id, parent_id) IN (SELECT document_id, parent_id FROM f) THEN row_number() OVER (PARTITION BY document_id, parent_id ORDER BY start_page, sequence_no, node_id) - 1 ELSE sequence_no END AS sequence_no, start_page, end_page FROM u""")
+def standalone_tables(spark, d):
+    n = tables.read(spark, d, "customer").selectExpr(
+        "c_nationkey AS document_id", "concat('c', c_custkey) AS node_id", "CASE WHEN c_custkey > 50 THEN concat('c', c_custkey - 25) END AS parent_id", "'SECTION' AS node_type", "1 + c_custkey % 3 AS depth", "c_custkey % 7 AS sequence_no", "c_custkey % 50 AS start_page", "CAST(NULL AS INT) AS start_character", "c_custkey % 50 + 10 + 5 * (c_custkey % 4) AS end_page"
+    )
+    t = tables.read(spark, d, "supplier").selectExpr("s_nationkey AS document_id", "s_suppkey AS table_id", "s_suppkey % 40 + 5 AS start_page", "s_suppkey % 40 + 8 AS end_page")
+    return grids.with_standalone_tables(n, t)[0].drop("start_character")
+
+
 @query()
 def flatten_tree(spark, d):
     n, r = tables.read(spark, d, "nation"), tables.read(spark, d, "region")

@@ -113,3 +113,11 @@ def test_a_pass_counts_only_without_a_live_subscription(spark):
     periods = spark.createDataFrame([(2, "s", day(1), day(5)), (2, "s", day(5), day(8))], "user_id int, subscription_id string, period_start timestamp, period_end timestamp")
     got = [tuple(r) for r in metering.billing_status(a, passes, periods, day(10)).orderBy("user_id").collect()]
     assert got == [(1, "pass_expired", "fpx", False, day(9), False), (2, "active", "subscription", True, day(8), False), (3, "pass_active", "fpx", False, day(20), False), (4, "none", "subscription", False, None, True)]
+
+
+def test_standalone_tables_need_one_container(spark):
+    nodes = spark.createDataFrame([(1, "a", None, "PART", 0, 0, 1, None, 9), (1, "b", "a", "SECTION", 1, 0, 4, 7, 5), (1, "c", "a", "SECTION", 1, 1, 4, 9, 5)], "document_id int, node_id string, parent_id string, node_type string, depth int, sequence_no int, start_page int, start_character int, end_page int")
+    given = spark.createDataFrame([(1, "t", 2, 3), (1, "u", 4, 5), (1, "v", 9, 10)], "document_id int, table_id string, start_page int, end_page int")
+    rows, problems = grids.with_standalone_tables(nodes, given)
+    assert sorted((r.node_id, r.parent_id, r.depth, r.sequence_no) for r in rows.collect() if r.parent_id) == [("1:t:2:3", "a", 1, 0), ("b", "a", 1, 1), ("c", "a", 1, 2)]
+    assert sorted((r.table_id, r.containers) for r in problems.collect()) == [("u", 2), ("v", 0)]
