@@ -151,6 +151,27 @@ def test_packing_rows(spark):
         assert at <= 2048
 
 
+def same_ids(spark, items):
+    """Whether one-piece and cut texts have the ids of tokenizers as the file sets it, and add_special_tokens=False."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(queries.vocabulary())
+    ids = [[*own.encode(t or "", add_special_tokens=False).ids, 0] for t in items]
+    rows = packing.pack(frame(spark, items, extra=False), queries.vocabulary()).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in map(sorted, held.values()):
+        assert [a for a, _ in parts] == np.cumsum([0, *(n for _, n in parts[:-1])]).tolist() and sum(n for _, n in parts) <= 2048
+    assert Counter({i: len(x) for i, x in enumerate(ids)}) == sum((Counter({r.doc_id: r.length}) for r in rows), Counter())
+    return ids, all(r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) for r in rows)
+
+
+def test_packing_takes_added_tokens(spark):
+    ids, same = same_ids(spark, ["a <|endoftext|> b", "<|endoftext|> it's\n\n  ünï", "<|endoftext|><|endoftext|>", None, "", "short text", "short text", "word <|endoftext|> " * 1000])
+    assert same and ids[0] == [64, 220, 50256, 275, 0]
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "[\\INST]", "<s><s>[/NAME]", "", None, "a\nb [SYS", "漢字😀"]
     rows = [(1, i, ["user", "assistant", "system", None, "tool"][i % 5], t) for i, t in enumerate(odd)] + [(2, 0, "user", "x"), (2, 0, "user", "x"), (None, None, "user", "n")]
