@@ -172,6 +172,11 @@ def test_packing_takes_added_tokens(spark):
     assert same and ids[0] == [64, 220, 50256, 275, 0]
 
 
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_packing_takes_long_runs_of_white_space(spark, run):
+    assert same_ids(spark, ["a" + run * 1_100_000 + "b", run * 1_000_001])[1]
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "[\\INST]", "<s><s>[/NAME]", "", None, "a\nb [SYS", "漢字😀"]
     rows = [(1, i, ["user", "assistant", "system", None, "tool"][i % 5], t) for i, t in enumerate(odd)] + [(2, 0, "user", "x"), (2, 0, "user", "x"), (None, None, "user", "n")]
