@@ -133,8 +133,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE
     return docs.mapInArrow(run, OUT)
 
 
-def by_join(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """The same for any number of items: a shuffle join of seeds, then each pair's texts."""
+def sharing(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, text, passage of every document and item that share a seed, by a shuffle join of seeds, then each pair's texts."""
     docs, benchmark = _plain(docs, "doc_id"), _plain(benchmark, "item_id")
 
     def seeds(batches):
@@ -148,6 +148,17 @@ def by_join(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> D
                 pair = np.unique(np.stack([row[keep].astype(U), values[keep]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(pair[:, 0].astype(np.int64))), pa.array(pair[:, 1].view(np.int64))], ["key", "seed"])
 
+    keyed = lambda t, k: t.withColumn("key", F.xxhash64(k, "text"))
+    d, m = keyed(docs, "doc_id"), keyed(benchmark, "item_id")
+    of = lambda t, key: t.select("key", "text").mapInArrow(seeds, "key long, seed long").withColumnRenamed("key", key)
+    both = of(d, "d").join(of(m, "m"), "seed").select("d", "m").distinct()
+    full = both.join(d.withColumnRenamed("key", "d"), "d").join(m.withColumnRenamed("key", "m").withColumnRenamed("text", "passage"), "m")
+    return full.select("doc_id", "item_id", "text", "passage")
+
+
+def by_join(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
+    """The same for any number of items."""
+
     def pairs(batches):
         for batch in batches:
             rows = []
@@ -155,20 +166,23 @@ def by_join(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> D
                 rows += found(Items([item], pa.array([passage])), [doc], pa.array([text]), least)
             yield batch_of(rows)
 
-    keyed = lambda t, k: t.withColumn("key", F.xxhash64(k, "text"))
-    d, m = keyed(docs, "doc_id"), keyed(benchmark, "item_id")
-    of = lambda t, key: t.select("key", "text").mapInArrow(seeds, "key long, seed long").withColumnRenamed("key", key)
-    both = of(d, "d").join(of(m, "m"), "seed").select("d", "m").distinct()
-    full = both.join(d.withColumnRenamed("key", "d"), "d").join(m.withColumnRenamed("key", "m").withColumnRenamed("text", "passage"), "m")
-    return full.select("doc_id", "item_id", "text", "passage").mapInArrow(pairs, OUT)
+    return sharing(docs, benchmark).mapInArrow(pairs, OUT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """The documents, all columns, that contain no item; in one pass while items are broadcast."""
+    """The documents, all columns, that contain no item; in one pass while items are broadcast. Rows are judged by their texts, whatever their doc_id."""
     items = broadcastable(_plain(benchmark, "item_id"))
     bounded(docs)
     if items is None:
-        return docs.join(by_join(docs, benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti")
+
+        def digests(batches):
+            for batch in batches:
+                rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([sha for text, passage, sha in rows if found(Items([None], pa.array([passage])), [None], pa.array([text]), least)], pa.string())], ["sha"])
+
+        dirty = sharing(docs, benchmark).select("text", "passage", F.sha2("text", 256)).mapInArrow(digests, "sha string").distinct()
+        # a null text has no digest and stays
+        return docs.join(dirty, F.sha2(docs["text"].cast("string"), 256) == dirty["sha"], "left_anti")
     at = docs.columns.index("text")
 
     def run(batches):

@@ -256,6 +256,19 @@ def test_tiling_equals_brute_force_and_join(spark):
     assert {r.doc_id for r in tiling.clean(df, bench).collect()} == set(range(len(docs))) - {d for d, _, _ in want}
 
 
+@pytest.mark.parametrize("most", [tiling.MOST_WORDS, 0])
+def test_clean_judges_rows_on_both_paths(spark, monkeypatch, most):
+    monkeypatch.setattr(tiling, "MOST_WORDS", most)
+    passage = "one two three four five six seven"
+    rows = [(None, passage), (None, "clean without id"), (None, None), (1, f"x {passage} y"), (1, "clean of the same id"), (1, "clean of the same id"), (2, passage), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    bench = spark.createDataFrame([(0, passage), (None, None)], "item_id long, text string")
+    assert (tiling.broadcastable(bench) is None) == (most == 0)
+    got = tiling.clean(df, bench)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, t) for i, t in rows if passage not in (t or ""))
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = gam.score(common.table(spark, folder, "documents"), common.table(spark, folder, "labels")).join(common.table(spark, folder, "labels"), "doc_id").collect()
