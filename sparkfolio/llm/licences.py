@@ -6,6 +6,12 @@ ones to nothing; so a text becomes a string of identifiers. Ordered rules, each
 first and by their order; a match uses its sentences up. An unknown sentence breaks a sequence. Sentences that name a licence
 but are unknown count separately, so that gaps of the rules show.
 
+Notices are found however they are wrapped: the words of a known sentence may stand on several lines, behind comment marks and with
+full stops between ("v. 2.0"), if the sentence begins and ends where sentences are cut. Long sentences, which no other text holds by
+chance (``LONG``), may also stand inside a longer one, as they do in notices written on one line; what is around them stays a
+sentence. Numbers of a list before its points count as nothing. Sentences that a notice runs together give both identifiers.
+``oracle`` knows none of this: it agrees where each notice's sentence stands whole on one line, as in the test tables.
+
 Null and empty texts: no sentence. Rows repeated, or of null doc_id: each gives a row. Other columns are ignored.
 """
 
@@ -46,13 +52,39 @@ RULES = [
 HINT = "licen[sc]e|copyright"
 SPACE = r"[ \t\n\f\r\x0B]"
 
+#: Sentences that are also known inside longer ones. The others could go on there ("version 3 or any later version").
+LONG = "BCDEHIJNORSTUX"
+#: Points of a list, whose number or letter counts as nothing.
+POINTS = "STU"
+#: As real notices have them, beside the forms above: sentences run together, other spellings, names filled in.
+TOGETHER = {"AB": f"{SENTENCES['A']} the license {SENTENCES['B']}"}
+SPELLINGS = [(" http www ", " https? www "), ("licenses license 2 0", "licenses license 2 0(?: txt| html)?"), ("name of the copyright holder nor", "name of (?:[a-z0-9]+ ){1,12}?nor")]
+#: A word of every sentence.
+WORDS = "licen|permission|copyright|warranty|redistribution|rights"
+
+
+def forms(sentences: dict[str, str] = SENTENCES) -> list[tuple[str, str]]:
+    """Expressions over cut sentences, one on each line, and the identifiers that stand for what they match."""
+    out = []
+    for ids, words in [*TOGETHER.items(), *sentences.items()]:
+        for plain, spelt in SPELLINGS:
+            words = words.replace(plain, spelt)
+        words = words.replace(" ", "[ \\n]")
+        number = r"(?:\b(?:[0-9]{1,2}|[a-z])[ \n]+)?" if ids in POINTS else ""
+        out.append((rf"{number}\b{words}\b" if len(ids) > 1 or ids in LONG else rf"(?<=\n){words}(?=\n)", "\n" + "\n".join(ids) + "\n"))
+    return out
+
 
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The text's string of identifiers: "?" for an unknown sentence that names a licence, a space for any other."""
     lines = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), rf"([.!?]){SPACE}+", "$1\n")
     plain = F.filter(F.split(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*"), lambda s: F.trim(s) != "")
-    known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
-    return F.array_join(F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, F.trim(s)), F.when(F.regexp_like(s, F.lit(HINT)), "?").otherwise(" "))), "")
+    whole = F.concat(F.lit("\n"), F.array_join(F.transform(plain, lambda s: F.trim(s)), "\n"), F.lit("\n"))
+    marked = whole
+    for expression, ids in forms(sentences):
+        marked = F.regexp_replace(marked, expression, ids)
+    cut = F.filter(F.split(F.when(F.regexp_like(whole, F.lit(WORDS)), marked).otherwise(whole), r" ?\n[ \n]*"), lambda s: F.trim(s) != "")
+    return F.array_join(F.transform(cut, lambda s: F.when(F.regexp_like(s, F.lit("^[A-Z]$")), s).when(F.regexp_like(s, F.lit(HINT)), "?").otherwise(" ")), "")
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str]] = RULES) -> DataFrame:

@@ -216,6 +216,85 @@ def test_licences(spark):
     assert got == {0: ("MIT", 1, 1, 0), 1: ("Apache-2.0", 1, 1, 0), 2: ("", 0, 0, 1), 3: ("", 0, 0, 0), 4: ("", 0, 0, 0), 5: ("", 0, 0, 0)}
 
 
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("way", ["wrapped", "commented", "starred", "one line"])
+def test_licences_of_real_notices(spark, way):
+    change = {"wrapped": str, "commented": lambda t: re.sub("(?m)^", "# ", t), "starred": lambda t: "/*\n" + re.sub("(?m)^", " * ", t) + "\n */", "one line": lambda t: " ".join(t.split())}[way]
+    held = BSD.replace("the copyright holder nor", "Example Systems, Inc. nor")
+    two = BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE") :]
+    lettered = BSD.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ")
+    items = [f"Some words before.\n\n{change(t)}\n\nSome words after." for t in (APACHE, MIT, BSD, held, two, lettered, GPL, MPL, APACHE.replace("http:", "https:"), f"{MIT}\n\n{GPL}")]
+    got = {r.doc_id: (r.licences, r.sequences) for r in licences.scan(frame(spark, items, extra=False)).collect()}
+    three = ("BSD-3-Clause", "RSTU")
+    assert got == {0: ("Apache-2.0", "ABCDE"), 1: ("MIT", "NO"), 2: three, 3: three, 4: ("BSD-2-Clause", "RST"), 5: three, 6: ("GPL-3.0-or-later", "HIJ"), 7: ("MPL-2.0", "X"), 8: ("Apache-2.0", "ABCDE"), 9: ("GPL-3.0-or-later,MIT", "NO HIJ")}
+
+
+def test_licences_keep_short_sentences_apart(spark):
+    items = ["This work is licensed under the GNU General Public License version 3 or any later version.", "It was never released under the MIT License\nat all.", "Released under the\n MIT License."]
+    assert [r.licences for r in licences.scan(frame(spark, items, extra=False)).orderBy("doc_id").collect()] == ["", "", "MIT"]
+
+
 def brute_tiles(doc, item, size=5):
     free_d, free_i, total = [True] * len(doc), [True] * len(item), 0
     while True:
