@@ -34,19 +34,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row that stays."""
     rows = shared(exact.exact_duplicates(docs))
-    out = without(docs, rows.filter("NOT kept").join(rows.filter("kept").select("doc_id"), "doc_id", "left_anti").select("doc_id"))
-    # rows that repeat a doc_id: one for each text
-    twice = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not twice:
-        return out
-    out = out.withColumn("_", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""))
+    if not rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return without(docs, rows.filter("NOT kept").select("doc_id"))
+    # doc_id doesn't name a row: by doc_id and text, and of rows that repeat both the longest
+    out = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""), 256))
     keep = rows.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
-    return out.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.sha2("_", 256) == F.col("sha")), "left_semi").dropDuplicates(["doc_id", "_"]).select(docs.columns)
+    out = out.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_semi")
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.char_length(F.coalesce("text", F.lit(""))), "text"))
+    return out.groupBy("_sha", F.col("doc_id").alias("_id")).agg(longest.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document of least doc_id."""
-    return without(docs, jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id"))
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return without(docs, jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id"))
+    # doc_id doesn't name a row: numbers do, and of a group the row of least doc_id, then least text digest, stays
+    numbered = shared(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = numbered.filter("doc_id IS NOT NULL").select("_row", "doc_id", F.sha2("text", 256).alias("sha"))
+    linked = jaccard.near_duplicates(numbered.filter("doc_id IS NOT NULL").select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    members = shared(linked.join(own, "_row"))
+    stays = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "sha", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    dropped = members.select("_row").join(stays, "_row", "left_anti")
+    return numbered.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

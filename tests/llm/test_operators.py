@@ -388,3 +388,25 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.exact_dedup(spark, doubled, FOLDER).filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").count() == 0
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.count() > 0
+
+
+def stage(spark, name, rows):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    out = dict(corpus_pipeline.STAGES)[name](spark, df, FOLDER)
+    assert out.columns == df.columns
+    return Counter((r.doc_id, r.text) for r in out.collect())
+
+
+def test_near_dedup_decides_for_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # a near copy and a unique text share id 5, two near copies share id 7
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c + " more"), (None, a), (8, None), (8, "")]
+    got = stage(spark, "near_dedup", rows)
+    assert [x for x in got if x[0] == 7] and sum(n for (i, _), n in got.items() if i == 7) == 1
+    assert Counter({x: n for x, n in got.items() if x[0] != 7}) == Counter([(1, a), (5, b), (None, a), (8, None), (8, "")])
+
+
+def test_exact_dedup_decides_for_rows(spark):
+    assert stage(spark, "exact_dedup", [(1, "x y"), (None, "xy"), (2, "z")]) == Counter([(1, "x y"), (2, "z")])
+    rows = [(1, "x y"), (None, "xy"), (3, "other"), (3, "x y"), (4, "q"), (4, "q "), (None, "only"), (None, "only"), (None, "another")]
+    assert stage(spark, "exact_dedup", rows) == Counter([(1, "x y"), (3, "other"), (4, "q "), (None, "only"), (None, "another")])
