@@ -16,6 +16,9 @@ ignored. Empty table: no rows.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -30,26 +33,101 @@ from .common import bounded, partitions, shared
 SEQUENCE, END = 2048, 0
 
 
-@lru_cache(4)
-def encoder(path: str):
-    """The tokenizer of a tokenizers file, with the file's added tokens; it takes runs of white space of any length."""
-    from tokenizers import Tokenizer
+#: White space by any definition of it, and characters that some count as such.
+SPACY = "\\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2060\ufeff"
+#: A space between two characters that are no white space: no pre-token of the byte-level pattern reaches across it.
+BETWEEN = re.compile(f"(?<=[^{SPACY}]) (?=[^{SPACY}])")
+# Ranges of characters that are letters in every version of Unicode, and the byte-level pattern over them and ASCII.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r 0-9{LETTERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Any character beside those, for which the pattern isn't used.
+OTHER = re.compile(rf"[^\x00-\x7f{LETTERS}]")
+#: Parts of texts whose ids a worker remembers, and the longest of them in characters.
+MOST_KNOWN, LONGEST_KNOWN = 400_000, 64
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes are themselves, the others are letters from 256 on."""
+    hidden = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
+    return {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+class Known(dict):
+    """Ids of parts of texts, computed once for each part; forgotten when there are too many."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.compute(part)
+        if len(part) <= LONGEST_KNOWN:
+            if len(self) >= MOST_KNOWN:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+class Encoder:
+    """Ids of texts, by tokenizers. Texts are encoded part by part if the file's settings make the parts' ids those of the whole
+    (byte-level pattern, no normaliser, added tokens without white space or stripping): texts of ASCII and ``LETTERS`` by
+    pre-tokens, other texts word by word, each with the space before it. Words that hold other characters or an added token, and
+    all texts under another file, are encoded whole."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+        self.own = Tokenizer.from_file(path)
+        told, letters = json.loads(self.own.to_str()), byte_letters()
+        before, model = told["pre_tokenizer"] or {}, self.own.model
+        self.added = [x["content"] for x in told["added_tokens"]]
+        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(f"[{SPACY}]", x["content"]) for x in told["added_tokens"])
+        self.splits = plain and not told["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
+
+        def compute(x: str) -> bytes:
+            ids = [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        self.tokens = Known(compute)
+        self.words = Known(lambda x: self.part(" " + x))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, PATTERN.findall(text))) if self.known(text) else self.whole(text)
+
+    def known(self, text: str) -> bool:
+        return not (OTHER.search(text) or any(x in text for x in self.added))
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not self.splits:
+            return self.whole(text)
+        if self.known(text):
+            return self.part(text)
+        first, *rest = BETWEEN.split(text)
+        return self.part(first) + b"".join(map(self.words.__getitem__, rest))
+
+
+@lru_cache(4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; ``tokens`` would be ids[start : start + length]."""
+    last = end.to_bytes(4, "little")
 
     def run(batches):
         own = encoder(path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*own.encode(text.as_py() or "", add_special_tokens=False).ids, end], "<u4")
-                first = len(ids) % sequence or sequence
-                cuts = [0, *range(first, len(ids) + 1, sequence)]
-                out += [(doc, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                ids = memoryview(own.ids(text.as_py() or "") + last)
+                n = len(ids) // 4
+                cuts = [0, *range(n % sequence or sequence, n + 1, sequence)]
+                out += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -192,7 +270,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END) -
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     cut = shared(pieces(docs, path, sequence, end).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * partitions(docs.sparkSession))).cast("int")))
     counts = shared(cut.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    # at most as many rows as a sequence has tokens
+    # at most as many rows as a sequence has tokens; each step of the plan uses up a length or a group of rooms, so its size, too, follows the sequence's and not the data's
     where = places(plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, sequence))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     inside = cut.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)

@@ -134,7 +134,6 @@ def test_packing_rows(spark):
     items = [None, "", "short text", "short text", "<|endoftext|> it's\n\n  ünï", "word " * 5000]
     rows = packing.pack(frame(spark, items), queries.vocabulary()).collect()
     own = Tokenizer.from_file(queries.vocabulary())
-    own.encode_special_tokens = True
     for i, t in enumerate(items):
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
         mine = sorted((r for r in rows if r.doc_id == i and not (i == 3 and r.length == 2)), key=lambda r: r.piece)
@@ -177,6 +176,21 @@ def test_packing_takes_long_runs_of_white_space(spark, run):
     assert same_ids(spark, ["a" + run * 1_100_000 + "b", run * 1_000_001])[1]
 
 
+def test_encoder_gives_the_ids_of_whole_texts():
+    own, rng = packing.Encoder(queries.vocabulary()), random.Random(1)
+    parts = ["a", "b", "'s", "'S", "'ll", " ", "  ", "\n", "\r", "\t", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "é", "ß", "Ж", "א", "ا", "漢", "カ", "ー", "각", "α", "ς", "ǆ", "ª", "µ", "×", "٣", "1", "!", "😀", "\u0301", "<|endoftext|>", "<|endof"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert own.ids(text) == own.whole(text), repr(text)
+    assert own.splits
+
+
+@pytest.mark.parametrize("mark", [" ", "\n", "a", "!", "é", "漢"])
+def test_encoder_takes_long_texts(mark):
+    own = packing.Encoder(queries.vocabulary())
+    assert own.ids(mark * 1_000_000) == own.whole(mark * 1_000_000)
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "[\\INST]", "<s><s>[/NAME]", "", None, "a\nb [SYS", "漢字😀"]
     rows = [(1, i, ["user", "assistant", "system", None, "tool"][i % 5], t) for i, t in enumerate(odd)] + [(2, 0, "user", "x"), (2, 0, "user", "x"), (None, None, "user", "n")]
