@@ -2,24 +2,36 @@
 
 A document's set holds its distinct five-word shingles, as 64-bit hashes. Sizes fall into bands [l, 4l/3], so that sets at
 Jaccard 3/4 lie in one band or in two neighbouring ones; each set takes part in the instance of its own band and of the next.
-An instance splits the domain of shingles into ``n1`` parts by hash and enumerates the subsets of parts (of size one: those
-need the fewest signatures); the signature of a subset is the projection of the set on it. Linked sets r and s differ in at
-most k = (|r| + |s|) / 7 shingles, which spoil at most k parts, so of the m parts that r fills at least m - k are equal in s.
-Therefore every order of signatures has a shared one among the first k + 1 of each set; rare signatures go first (by hashed
-counts over all sets), which keeps boilerplate out. Sets that fill k parts or fewer emit each shingle as a signature besides.
-
-Equal sets are one class. Each class is first checked against the partner of its signature groups that shares the most
-signatures with it; linked classes merge, and only pairs of a group that are still in different components are checked after
-that. Every check is exact. Nothing is capped or sampled.
+Linked sets r and s differ in at most k = (|r| + |s|) / 7 shingles. An instance splits the domain of shingles by hash into ``n1``
+parts and each of these into ``n2``, and enumerates in each first-level part the subsets of n2 - k2 second-level parts, where
+n1 * (k2 + 1) > k; a signature is the projection of the set on a subset, so linked sets share one. ``instance`` chooses:
+
+* up to k = 3 (sets of up to 13 shingles) n1 = 1, k2 = k, n2 = k + 3: all subsets of three parts, 4, 10 or 20 signatures;
+* beyond, n2 = 1 and k2 = 0, since there larger subsets cost many times the signatures (for k = 28 subsets of two out of four parts
+  need 60 that hold 5 shingles each, and parts alone 29 that hold 3.5). n1 is a power of four from the band's end on, so that
+  neighbouring bands mostly have the same parts and a set its signatures but once. Differences spoil at most k of the signatures
+  of either set, so in every order of signatures there is a shared one among the first k + 1 of each: rare ones go first (by
+  hashed counts over all sets), which keeps boilerplate out, and the others aren't emitted.
+
+Sets for which a subset is empty, or which fill k parts or fewer, emit each shingle as a signature besides.
+
+Equal sets are one class, named by 128 bits of digest. Signatures travel as 40 bits beside 48 bits of the class, which only choose
+candidates. The member of a group that shares the most signatures stands for it (its centre); every class is first checked against the
+centre with which it shares the most, and linked classes merge. What is left are, for each centre, the classes outside its component:
+they are compared among each other and with those inside by parities of cells, in blocks of ``BLOCK`` (so a large group is many
+tasks, and members of one component are never paired), and pairs that cells leave possible are checked. Every check is exact. Nothing
+is capped or sampled. A centre with m classes outside and n inside its component costs m * (m + n) comparisons of cells.
 
 Nulls and empty texts: the empty set, which links with nothing. Null doc_id: the row stays, unlinked, with null component_id.
-Rows repeated: each gives a row. Other columns are ignored. Hashes have 64 bits; a collision would need two different shingles
-among those of one pair of sets (or, for words of over 1,000 characters, a text built for it).
+Rows repeated: each gives a row. Other columns are ignored. Empty table: no rows. Very long texts are cut into shingles like others,
+one at a time. Hashes of shingles have 64 bits; a collision would need two different shingles among those of one pair of sets (or,
+for words of over 1,000 characters, a text built for it).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +43,18 @@ from .common import IS_SPACE, U, bounded, distinct, freed, mix, partitions, row_
 #: Hashed counters that order signatures by how common they are.
 COUNTERS = 1 << 19
 SHIFT = U(64 - 19)
-#: Signatures that a task gathers before it deals them out to buckets.
-FLUSH = 500_000
+#: Signatures that a task gathers before it deals them out to buckets, and bytes of signatures in a bucket, about.
+FLUSH, BUCKET_BYTES = 500_000, 48_000_000
+#: Bytes of a signature beside its bucket, and of its class.
+SIGN, OWNER = 5, 6
+#: Members of a group in one row, and classes of a block of comparisons.
+CHUNK, BLOCK = 20_000, 1_000
 #: Least logarithm of the number of cells in which two sets are compared before their shingles are moved.
 LEAST_LEVEL = 6
+#: Sets of bands up to this k get subsets of three parts.
+MOST_K = 3
+#: Classes in a broadcast filter (16 MB); more are selected by a join alone.
+MOST_WANTED = 4_000_000
 
 
 def bands(largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +114,19 @@ def possible(a: bytes, b: bytes) -> bool:
     return 100 * min(n, m) >= 75 * max(n, m) and 7 * int(np.bitwise_count(folded_cells(a, size) ^ folded_cells(b, size)).sum(dtype=np.int64)) <= n + m
 
 
-def possible_pairs(node: np.ndarray, component: np.ndarray, raw: list[bytes]) -> Iterator[np.ndarray]:
-    """Pairs of a group's members in different components that cells leave possible: each set against those of its size up to 4/3 of it."""
+def possible_pairs(node: np.ndarray, component: np.ndarray, raw: list[bytes], role: np.ndarray, inner: bool) -> Iterator[np.ndarray]:
+    """Pairs of a block's members in different components that cells leave possible, each set against those of its size up to 4/3 of
+    it: members of roles 0 and 1, and if ``inner`` those of role 1 among each other."""
     n = np.array([int.from_bytes(x[:4], "little") for x in raw])
     order = np.argsort(n, kind="stable")
-    node, component, n, raw = node[order], component[order], n[order], [raw[i] for i in order.tolist()]
+    node, component, n, role, raw = node[order], component[order], n[order], role[order], [raw[i] for i in order.tolist()]
     ends, levels = np.searchsorted(n, 4 * n // 3, "right"), level(n)
     for to in np.unique(levels).tolist():
         first, last = np.searchsorted(levels, to), np.searchsorted(levels, to, "right")
         some = np.stack([folded_cells(x, 1 << (to - 3)) for x in raw[first : ends[last - 1]]])
         for i in range(first, last):
-            near = i + 1 + np.flatnonzero(component[i + 1 : ends[i]] != component[i])
+            other = role[i + 1 : ends[i]]
+            near = i + 1 + np.flatnonzero((component[i + 1 : ends[i]] != component[i]) & ((other != role[i]) | (inner & (other == 1))))
             if len(near):
                 apart = np.bitwise_count(some[near - first] ^ some[i - first]).sum(1, dtype=np.int64)
                 near = near[7 * apart <= n[near] + n[i]]
@@ -112,30 +134,78 @@ def possible_pairs(node: np.ndarray, component: np.ndarray, raw: list[bytes]) ->
                     yield np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], 1)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For both instances of each set: signature, row, the number of signatures that the row needs, and whether it stands beside the ordered ones."""
+def instance(high: int) -> tuple[int, int, int]:
+    """n1, n2, k2 of the band that ends with sets of size ``high``; n1 = 0 if only equal sets can link."""
+    k = 2 * high // 7
+    if k == 0:
+        return 0, 1, 0
+    return (1, k + 3, k) if k <= MOST_K else (4 ** int(np.ceil(np.log2(high) / 2)), 1, 0)
+
+
+N1, N2, K2 = (np.array(x, np.int64) for x in zip(*map(instance, HIGHS.tolist()), strict=True))
+#: Bands that share parts share a level.
+LEVEL = N1 * 64 + N2
+
+
+def subsets(values: np.ndarray, row: np.ndarray, rows: int, n2: int, k2: int, salt: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures and rows: projections on all subsets of n2 - k2 parts, but empty ones; a row that has an empty one gives its shingles too."""
+    part = ((mix(values ^ U(0x5BD1E995)) >> U(20)) % U(n2)).astype(np.int64)
+    at = row * n2 + part
+    sums = np.zeros(rows * n2, U)
+    np.add.at(sums, at, mix(values + U(3)))
+    counts = np.bincount(at, minlength=rows * n2)
+    content = mix(sums + mix(np.tile(np.arange(n2, dtype=U), rows) + salt) + counts.astype(U)).reshape(rows, n2)
+    counts = counts.reshape(rows, n2)
+    for some in combinations(range(n2), n2 - k2):
+        there = np.flatnonzero(counts[:, some].sum(1) > 0)
+        yield mix(content[:, some].sum(1, dtype=U)[there] + U(sum(1 << x for x in some))), there
+    hollow = (counts == 0).sum(1) >= n2 - k2
+    alone = hollow[row]
+    yield mix(values[alone] + mix(salt + U(1 << 50))), row[alone]
+
+
+def signatures(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For the instances of each set: signature, row, and the number of signatures that the row can lose (or None: all are needed)."""
     sizes = np.diff(offsets)
-    for step in (0, 1):
-        band = np.searchsorted(HIGHS, sizes, "left") + step
-        high = HIGHS[band]
-        need = (sizes + np.minimum(high, 4 * sizes // 3)) // 7
-        parts = np.where(high >= 256, high, 4 * high)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        part = ((mix(values ^ U(0x5BD1E995)) >> U(20)) % parts[row].astype(U)).astype(np.int64)
-        order = np.argsort(row * (int(parts.max(initial=1)) + 1) + part)
-        row, part, value = row[order], part[order], values[order]
-        if not len(row):
+    band = np.searchsorted(HIGHS, sizes, "left")
+    need = [(sizes + np.minimum(HIGHS[band + step], 4 * sizes // 3)) // 7 for step in (0, 1)]
+    for one in np.unique(np.concatenate([LEVEL[band], LEVEL[band + 1]])).tolist():
+        n1, n2 = divmod(one, 64)
+        own, after = LEVEL[band] == one, LEVEL[band + 1] == one
+        here = (own | after) & (sizes > 0)
+        if not n1 or not here.any():
             continue
+        at = np.flatnonzero(here)
+        lost = np.maximum(np.where(own, need[0], 0), np.where(after, need[1], 0))[at]
+        value, row = values[np.repeat(here, sizes)], np.repeat(np.arange(len(at)), sizes[at])
+        salt = mix(np.array([one], U))
+        if n2 > 1:
+            for sign, rows in subsets(value, row, len(at), n2, n2 - 3, salt):
+                yield sign, at[rows], None
+            continue
+        part = ((mix(value ^ U(0x5BD1E995)) >> U(20)) & U(n1 - 1)).astype(np.int64)
+        order = np.argsort(row * n1 + part)
+        row, part, value = row[order], part[order], value[order]
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
         sums = np.add.reduceat(mix(value + U(3)), first)
         counts = np.diff(np.append(first, len(row))).astype(U)
         owner = row[first]
-        sign = mix(sums + mix(part[first].astype(U) * U(1 << 20) + band[owner].astype(U)) + counts)
-        yield sign, owner, need[owner], np.zeros(len(sign), bool)
-        few = np.bincount(owner, minlength=len(sizes)) <= need
-        if (few & (sizes > 0)).any():
+        yield mix(sums + mix(part[first].astype(U) + salt) + counts), at[owner], lost[owner]
+        few = np.bincount(owner, minlength=len(at)) <= lost
+        if few.any():
             alone = few[row]
-            yield mix(value[alone] + mix(band[row[alone]].astype(U) + U(1 << 50))), row[alone], need[row[alone]], np.ones(int(alone.sum()), bool)
+            yield mix(value[alone] + mix(salt + U(1 << 50))), at[row[alone]], None
+
+
+def rarest(sign: np.ndarray, row: np.ndarray, lost: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the signatures that come first by count, then by bits; those that tie with the last one needed stay as well."""
+    key = (row.astype(U) << U(42)) | (rank[(sign >> SHIFT).astype(np.int64)] << U(20)) | (mix(sign) >> U(44))
+    order = np.argsort(key)
+    key, row, lost = key[order], row[order], lost[order]
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(np.append(begin, len(row)))
+    keep = key <= np.repeat(key[begin + np.minimum(lost[begin], size - 1)], size)
+    return sign[order[keep]], row[keep]
 
 
 BLOCKS = "block long, content binary"
@@ -164,67 +234,76 @@ def folded(parts: DataFrame, size: int, kind: type, op: np.ufunc) -> np.ndarray:
     return out.ravel()
 
 
-TABLE = "doc_id long, cls long, cls2 long, n_shingles long, cells binary, block long, content binary"
+TABLE = "doc_id long, node binary, n_shingles long, block long, content binary"
+
+
+def names(one: np.ndarray, two: np.ndarray) -> pa.Array:
+    """Digests of classes as 16 bytes each."""
+    raw = np.stack([one, two], 1).astype("<u8").tobytes()
+    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
 
 
 def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, cls2, n_shingles, cells of every document; and rows of hashed counts of all signatures, as ``blocks``: a fixed number of counters for each task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("n_shingles", pa.int64()), ("cells", pa.binary()), ("block", pa.int64()), ("content", pa.binary())])
+    """doc_id, node (name of the class), n_shingles of every document; and rows of hashed counts of all signatures, as ``blocks``: a fixed number of counters for each task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("block", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for a, b, values, offsets in shingle_sets(batch.column(1)):
-                for sign, _, _, _ in signatures(values, offsets):
+                for sign, _, _ in signatures(values, offsets):
                     total += np.bincount((sign >> SHIFT).astype(np.int64), minlength=COUNTERS)
-                one, two = digests(values, offsets)
                 n = b - a
-                own = pa.array(cells(values, offsets), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offsets)), own, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), names(*digests(values, offsets)), pa.array(np.diff(offsets)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
         if total.any():
             for part in blocks(np.minimum(total, 2**31 - 1).astype(np.int32)):
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:5]), part.column(0), part.column(1)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:3]), part.column(0), part.column(1)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TABLE)
 
 
+def keys(cls: np.ndarray) -> np.ndarray:
+    """The bits of a class's digest that travel with signatures."""
+    return cls >> U(64 - 8 * OWNER)
+
+
+def low_bytes(values: np.ndarray, n: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def from_low_bytes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel().astype(U)
+
+
 def signature_groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """Distinct groups of classes that share a signature: members (sorted), and the number of signatures that they share."""
-    buckets = partitions(docs.sparkSession)
+    """Distinct groups of classes that share a signature, by two digests of their members: members (sorted keys, in chunks), their number, and the number of signatures that they share."""
+    # counters hold all signatures, of which sets emit half at most
+    buckets = max(partitions(docs.sparkSession), int(common.sum(dtype=np.int64)) // 2 * (SIGN + OWNER) // BUCKET_BYTES)
     rank = np.clip(common, 0, 2**22 - 1).astype(U)
 
     def emit(held):
-        sign = np.concatenate([x[0] for x in held])
-        owner = np.concatenate([x[1] for x in held])
-        bucket = (sign % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        sign, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (sign >> U(8 * SIGN)) % U(buckets)
+        sign &= U((1 << 8 * SIGN) - 1)
+        order = np.lexsort((owner, sign, bucket))
         sign, owner, bucket = sign[order], owner[order], bucket[order]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        names, blobs = [], []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            own, index = np.unique(owner[a:b], return_inverse=True)
-            names.append(int(bucket[a]))
-            blobs.append(np.array([len(own), b - a], np.int64).tobytes() + own.tobytes() + sign[a:b].tobytes() + index.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])
+        sign, owner, bucket = sign[new], owner[new], bucket[new]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int64)), *(pa.array([low_bytes(v[a:b], n) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for v, n in ((sign, SIGN), (owner, OWNER)))], ["bucket", "signs", "owners"])
 
     def deal(batches):
         held, n = [], 0
         for batch in batches:
             for _, _, values, offsets in shingle_sets(batch.column(0)):
-                cls = digests(values, offsets)[0]
-                for sign, row, need, beside in signatures(values, offsets):
-                    if not beside.all():
-                        # row, then count, then bits of the signature; those that tie with the last one needed stay as well
-                        key = (row.astype(U) << U(42)) | (rank[(sign >> SHIFT).astype(np.int64)] << U(20)) | (mix(sign) >> U(44))
-                        order = np.argsort(key)
-                        key, row, need = key[order], row[order], need[order]
-                        begin = np.flatnonzero(np.diff(row, prepend=-1))
-                        size = np.diff(np.append(begin, len(row)))
-                        last = key[begin + np.minimum(need[begin], size - 1)]
-                        keep = key <= np.repeat(last, size)
-                        sign, row = sign[order[keep]], row[keep]
-                    held.append((sign, cls[row]))
+                own = keys(digests(values, offsets)[0])
+                for sign, row, lost in signatures(values, offsets):
+                    if lost is not None:
+                        sign, row = rarest(sign, row, lost, rank)
+                    held.append((sign, own[row]))
                     n += len(sign)
                 if n >= FLUSH:
                     yield emit(held)
@@ -235,11 +314,9 @@ def signature_groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def group(batches):
         signs, owners = [], []
         for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                own, n = np.frombuffer(blob, np.int64, 2).tolist()
-                names = np.frombuffer(blob, U, own, 16)
-                signs.append(np.frombuffer(blob, U, n, 16 + 8 * own))
-                owners.append(names[np.frombuffer(blob, np.uint32 if own > 65535 else np.uint16, n, 16 + 8 * own + 8 * n)])
+            for bucket, sign, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                signs.append(from_low_bytes(sign, SIGN) | U(bucket << 8 * SIGN))
+                owners.append(from_low_bytes(owner, OWNER))
         if not signs:
             return
         sign, owner = np.concatenate(signs), np.concatenate(owners)
@@ -249,32 +326,42 @@ def signature_groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
         same = sign[1:] == sign[:-1]
         shared_one = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         sign, owner = sign[shared_one], owner[shared_one]
-        if not len(sign):
-            return
         order = np.lexsort((owner, sign))
         sign, owner = sign[order], owner[order]
-        new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])])
+        new = np.ones(len(sign), bool)
+        new[1:] = (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])
         sign, owner = sign[new], owner[new]
-        cut = np.concatenate([[0], np.flatnonzero(sign[1:] != sign[:-1]) + 1, [len(sign)]])
-        keys = mix(row_sums(mix(owner + U(9)), cut))
-        keep = np.diff(cut) > 1
-        _, at, weight = np.unique(keys[keep], return_index=True, return_counts=True)
-        at = np.flatnonzero(keep)[at]
-        for i in range(0, len(at), 2000):
-            some = at[i : i + 2000]
-            members = pa.array([owner[cut[j] : cut[j + 1]].view(np.int64) for j in some.tolist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), members, pa.array(weight[i : i + 2000].astype(np.int64))], ["gid", "members", "weight"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(deal, "bucket long, blob binary").repartition(buckets, "bucket").mapInArrow(group, "gid long, members array<long>, weight long")
-
-
-def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their shingles."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        cut = np.concatenate([[0], np.flatnonzero(sign[1:] != sign[:-1]) + 1, [len(sign)]]).astype(np.int64)
+        several = np.flatnonzero(np.diff(cut) > 1)
+        one, two = (mix(row_sums(mix(owner + U(x)), cut) + np.diff(cut).astype(U)) for x in (9, 1 << 60))
+        _, at, weight = np.unique(np.stack([one[several], two[several]], 1), axis=0, return_index=True, return_counts=True)
+        rows, held = [], 0
+        for i, w in zip(several[at].tolist(), weight.tolist(), strict=True):
+            a, b = int(cut[i]), int(cut[i + 1])
+            for c in range(a, b, CHUNK):
+                rows.append((one[i].view(np.int64), two[i].view(np.int64), (c - a) // CHUNK, owner[c : min(b, c + CHUNK)].view(np.int64), b - a, w))
+                held += min(b - c, CHUNK)
+                if held >= 10 * CHUNK:
+                    yield group_rows(rows)
+                    rows, held = [], 0
+        if rows:
+            yield group_rows(rows)
+
+    dealt = docs.select(F.col("text").cast("string")).mapInArrow(deal, "bucket long, signs binary, owners binary").repartition(buckets, "bucket")
+    return dealt.mapInArrow(group, "g1 long, g2 long, chunk int, members array<long>, size long, weight long").groupBy("g1", "g2", "chunk").agg(F.first("members").alias("members"), F.first("size").alias("size"), F.sum("weight").alias("weight"))
+
+
+def group_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["g1", "g2", "chunk", "members", "size", "weight"])
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, node, key, cells, shingles (64 bits each) of every class whose key is wanted (``key`` of ``wanted``, distinct), and of a few others. Ids are numbers that hold for the checkpoint."""
     few = wanted.count()
     bits = 1 << max(16, int(few * 16).bit_length())
-    bloom = None
-    if few <= 4_000_000:  # a filter of 16 MB at most; beyond that the join alone selects
+    packed = None
+    if few <= MOST_WANTED:
 
         def mark(batches):
             out = np.zeros(bits, bool)
@@ -283,22 +370,35 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 out[(h % U(bits)).astype(np.int64)] = out[((h >> U(32)) * U(31) % U(bits)).astype(np.int64)] = True
             yield from blocks(np.packbits(out))
 
-        bloom = np.unpackbits(folded(wanted.mapInArrow(mark, BLOCKS), bits // 8, np.uint8, np.bitwise_or)).view(bool)
-    packed = None if bloom is None else np.packbits(bloom)
+        packed = folded(wanted.mapInArrow(mark, BLOCKS), bits // 8, np.uint8, np.bitwise_or)
 
     def sets(batches):
         there = None if packed is None else np.unpackbits(packed).view(bool)
         for batch in batches:
-            for a, _, values, offsets in shingle_sets(batch.column(0)):
-                cls = digests(values, offsets)[0]
-                h = mix(cls)
+            for _, _, values, offsets in shingle_sets(batch.column(0)):
+                one, two = digests(values, offsets)
+                key = keys(one)
+                h = mix(key)
                 keep = np.diff(offsets) > 0
                 if there is not None:
                     keep &= there[(h % U(bits)).astype(np.int64)] & there[((h >> U(32)) * U(31) % U(bits)).astype(np.int64)]
                 at = np.flatnonzero(keep)
-                at = at[np.unique(cls[at], return_index=True)[1]]
-                raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(cls[at].view(np.int64)), pa.array([raw[8 * x : 8 * y] for x, y in zip(offsets[at].tolist(), offsets[at + 1].tolist(), strict=True)], pa.binary())], ["cls", "shingles"])
+                at = at[np.unique(np.stack([one[at], two[at]], 1), axis=0, return_index=True)[1]]
+                if len(at):
+                    sizes = np.diff(offsets)[at]
+                    start = np.concatenate([[0], np.cumsum(sizes)])
+                    own = values[np.repeat(offsets[at] - start[:-1], sizes) + np.arange(start[-1])]
+                    raw = own.astype("<u8").tobytes()
+                    yield pa.RecordBatch.from_arrays([names(one[at], two[at]), pa.array(key[at].view(np.int64)), pa.array(cells(own, start), pa.binary()), pa.array([raw[8 * x : 8 * y] for x, y in zip(start.tolist(), start[1:].tolist(), strict=False)], pa.binary())], ["node", "key", "cells", "shingles"])
+
+    made = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(sets, "node binary, key long, cells binary, shingles binary")
+    if packed is None:
+        made = made.join(wanted, "key", "left_semi")
+    return shared(made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("key", "cells", "shingles"))).withColumn("id", F.monotonically_increasing_id()))
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their shingles."""
 
     def compare(batches):
         for batch in batches:
@@ -309,12 +409,16 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep[i] = 100 * both >= 75 * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    own = docs.select(F.col("text").cast("string")).mapInArrow(sets, "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    left = pairs.join(own.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(own.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return with_both(pairs, sets, "shingles").mapInArrow(compare, "a long, b long")
+
+
+def with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """a, b, x, y: pairs of classes with a column of each."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col(column).alias("x")), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
 
-def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component of every node of an edge (a, b): least label along links, by alternating neighbour minima and pointer jumps over checkpoints."""
     both = shared(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
     labels = shared(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("component")))
@@ -330,52 +434,38 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def unique_pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
-    some = np.concatenate(parts)
-    some = some[np.lexsort((some[:, 1], some[:, 0]))]
-    some = some[np.concatenate([[True], (np.diff(some, axis=0) != 0).any(1)])]
-    return pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and class_size (documents with an equal set)."""
-    table = shared(class_table(bounded(docs)))
-    rows = table.filter("block IS NULL").select("doc_id", "cls", "cls2", "n_shingles")
-    common = folded(table.filter("block IS NOT NULL").select("block", "content"), COUNTERS, np.int32, np.add)
-    groups = shared(signature_groups(docs, common).groupBy("gid").agg(F.first("members").alias("members"), F.sum("weight").alias("weight")))
-    freed(docs)
-    known = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("cells").alias("cells"))
-    classes = shared(known)
-    cell = classes.select("cls", "cells")
-    # the member that shares the most signatures with others stands for a group (the original, if the others are copies of it);
-    # each class is checked against the one of these partners that it shares the most signatures with
-    flat = groups.select("gid", F.explode("members").alias("node"), "weight", (F.col("weight") * (F.size("members") - 1)).alias("links"))
-    degree = flat.groupBy("node").agg(F.sum("links").alias("degree"))
-    central = flat.join(degree, "node").groupBy("gid").agg(F.max_by("node", F.struct("degree", "node")).alias("a"), F.collect_list("node").alias("members"), F.first("weight").alias("weight"))
-    stars = central.select("a", F.explode("members").alias("b"), "weight").filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", F.negate("a"))).alias("a"))
-    best = best.join(cell.select(F.col("cls").alias("a"), F.col("cells").alias("x")), "a").join(cell.select(F.col("cls").alias("b"), F.col("cells").alias("y")), "b")
-
-    def sieve(batches):
-        for batch in batches:
-            yield batch.select(["a", "b"]).filter(pa.array([possible(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
-
-    best = shared(best.select("a", "b", "x", "y").mapInArrow(sieve, "a long, b long"))
-    first = shared(checked(best, docs))
-    labels = components(first)
-    freed(docs)
-    # groups whose members are still apart: all their pairs across components that cells leave possible
-    named = groups.select("gid", F.explode("members").alias("node")).join(labels, "node", "left").groupBy("gid").agg(F.collect_list(F.struct("node", F.coalesce("component", "node").alias("component"))).alias("members"))
-    apart = named.filter(F.array_min("members.component") < F.array_max("members.component")).select("gid", F.explode("members").alias("m")).select("gid", "m.*")
-    listed = apart.join(cell.withColumnRenamed("cls", "node"), "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "cells")).alias("members"))
+def stars(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, w: centres, the classes of their groups (themselves too) and the number of signatures that these share there."""
+    # groups of equal g1 would be joined, which only adds candidates
+    flat = shared(groups.select("g1", F.explode("members").alias("key"), "size", "weight").join(sets.select("key", F.col("id").alias("b")), "key").select("g1", "b", "size", "weight"))
+    degree = flat.groupBy("b").agg(F.sum(F.col("weight") * (F.col("size") - 1)).alias("degree"))
+    centre = flat.join(degree, "b").groupBy("g1").agg(F.max_by("b", F.struct("degree", "b")).alias("a"))
+    return shared(flat.join(centre, "g1").groupBy("a", "b").agg(F.sum("weight").alias("w")))
+
+
+def compared(star: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of classes of one centre but of different components that cells leave possible."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    held = star.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("cb", "b").alias("component"), (F.coalesce("cb", "b") != F.coalesce("ca", "a")).alias("outside"))
+    counts = held.groupBy("a").agg(F.sum(F.col("outside").cast("long")).alias("m"), F.sum((~F.col("outside")).cast("long")).alias("n")).filter("m > 0")
+    held = held.join(counts.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("m"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n")), "a")
+    # block (i, j): outsiders i against insiders j, and if j = 0 among each other; from j = n on, against outsiders j - n
+    own = F.pmod(F.xxhash64("b"), F.when(F.col("outside"), F.col("m")).otherwise(F.col("n")).cast("long")).cast("int")
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("int").alias("role"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = F.transform(upto(F.col("m")), lambda i: place(i, F.col("own"), F.lit(0)))
+    against = F.transform(upto(F.col("n")), lambda j: place(F.col("own"), j, F.lit(1)))
+    others = F.transform(F.filter(upto(F.col("m")), lambda i: i != F.col("own")), lambda i: place(F.least("own", i), F.col("n") + F.greatest("own", i), F.col("own") > i))
+    dealt = held.withColumn("own", own).select("a", "b", "component", F.explode(F.when(F.col("outside"), F.concat(against, others)).otherwise(inside)).alias("at")).select("a", "b", "component", "at.*")
+    listed = dealt.join(sets.select(F.col("id").alias("b"), "cells"), "b").groupBy("a", "i", "j").agg(F.collect_list(F.struct("b", "component", "role", "cells")).alias("members"))
 
     def cross(batches):
         for batch in batches:
             out: list[np.ndarray] = []
             held = 0
-            for members in batch.column(0):
+            for j, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 flat = members.values
-                for pairs in possible_pairs(np.asarray(flat.field(0)), np.asarray(flat.field(1)), flat.field(2).to_pylist()):
+                for pairs in possible_pairs(*(np.asarray(flat.field(i)) for i in (0, 1)), flat.field(3).to_pylist(), np.asarray(flat.field(2)), j == 0):
                     out.append(pairs)
                     held += len(pairs)
                     if held > 500_000:
@@ -384,18 +474,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if out:
                 yield unique_pairs(out)
 
-    pairs = listed.select("members").mapInArrow(cross, "a long, b long").distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared(pairs.join(tried, ["a", "b"], "left_anti"))
+    return listed.select("j", "members").mapInArrow(cross, "a long, b long").distinct()
+
+
+def unique_pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    some = np.unique(np.concatenate(parts), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
+
+
+def linked(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """node, label: the classes that have links, by their names, and the number of their component."""
+    groups = shared(signature_groups(docs.filter("doc_id IS NOT NULL"), common))
+    freed(docs)
+    sets = class_sets(docs, groups.select(F.explode("members").alias("key")).distinct())
+    star = stars(groups, sets)
+    freed(docs)
+    # each class against the centre with which it shares the most signatures
+    best = star.filter("a <> b").groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+
+    def sieve(batches):
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array([possible(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
+
+    best = shared(with_both(best, sets, "cells").mapInArrow(sieve, "a long, b long"))
+    first = shared(checked(best, sets))
+    labels = components(first)
     freed(docs)
-    more = shared(checked(pairs, docs)) if pairs.limit(1).count() else None
-    if more is not None and more.limit(1).count():
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = shared(compared(star, labels, sets).join(tried, ["a", "b"], "left_anti"))
+    more = shared(checked(pairs, sets))
+    if more.limit(1).count():
         labels = components(first.union(more))
-    named = labels.join(classes, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("least").alias("component_id"))
-    final = labels.join(named, "component").select(F.col("node").alias("cls"), "component_id")
-    own = classes.join(final, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"), "class_size")
+    freed(docs)
+    return labels.join(sets.select(F.col("id"), "node").withColumnRenamed("node", "name"), F.col("node") == F.col("id")).select(F.col("name").alias("node"), F.col("component").alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and class_size (documents with an equal set)."""
+    table = shared(class_table(bounded(docs)))
+    rows = table.filter("block IS NULL").select("doc_id", "node", "n_shingles")
+    common = folded(table.filter("block IS NOT NULL").select("block", "content"), COUNTERS, np.int32, np.add)
+    classes = shared(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size")))
+    labels = linked(docs, common)
+    named = shared(classes.join(labels, "node", "left"))
+    heads = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("head"))
+    own = named.join(heads, "label", "left").select("node", F.coalesce("head", "least").alias("component_id"), "class_size")
     return (
-        rows.withColumn("cls", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cls")))
-        .join(own, "cls", "left")
+        rows.withColumn("node", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")))
+        .join(own, "node", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
     )

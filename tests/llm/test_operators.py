@@ -43,8 +43,11 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_jaccard_equals_brute_force(spark):
-    items = texts(40)
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2])
+def test_jaccard_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CHUNK", 3 if block == 2 else jaccard.CHUNK)
+    items = texts(40) + [" ".join(f"q{i}" for i in range(n)) for n in range(5, 20)]
     got = {r.doc_id: r for r in jaccard.near_duplicates(frame(spark, items)).collect() if r.doc_id is not None}
     sets = [shingles(t) for t in items]
     parent = list(range(len(items)))
@@ -63,6 +66,33 @@ def test_jaccard_equals_brute_force(spark):
     assert [got[i].n_shingles for i in range(len(items))] == [len(s) for s in sets]
 
 
+def test_signatures_of_linked_sets_meet():
+    rng = random.Random(5)
+    rank = np.zeros(jaccard.COUNTERS, np.uint64)
+    for _ in range(300):
+        n = rng.choice([4, 5, 7, 8, 10, 12, 13, 14, 18, 30, 100])
+        one = rng.sample(range(10**9), n)
+        lost = [x for x in range(n + 1) if 4 * (n - x) >= 3 * n]
+        two = one[rng.choice(lost) :]
+        while True:
+            more = [*two, rng.randrange(10**9, 2 * 10**9)]
+            if 4 * len(set(one) & set(more)) < 3 * len(set(one) | set(more)):
+                break
+            two = more
+            if rng.random() < 0.3:
+                break
+        signs = []
+        for x in (one, two):
+            values = np.sort(common.mix(np.array(x, np.uint64)))
+            got = [s if lost is None else jaccard.rarest(s, r, lost, rank)[0] for s, r, lost in jaccard.signatures(values, np.array([0, len(x)]))]
+            signs.append(set(np.concatenate(got).tolist()) if got else set())
+        assert set(one) == set(two) or signs[0] & signs[1], (n, len(two))
+
+
+def test_subsets_of_three_parts_are_enumerated():
+    assert [jaccard.instance(h) for h in (2, 4, 9, 13, 18, 300)] == [(0, 1, 0), (1, 4, 1), (1, 5, 2), (1, 6, 3), (64, 1, 0), (1024, 1, 0)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
