@@ -356,8 +356,8 @@ def group_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["g1", "g2", "chunk", "members", "size", "weight"])
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, node, key, cells, shingles (64 bits each) of every class whose key is wanted (``key`` of ``wanted``, distinct), and of a few others. Ids are numbers that hold for the checkpoint."""
+def class_rows(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """node, key and ``cells`` or ``shingles`` (64 bits each) of every class whose key is wanted (``key`` of ``wanted``, distinct), and of a few others."""
     few = wanted.count()
     bits = 1 << max(16, int(few * 16).bit_length())
     packed = None
@@ -372,7 +372,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         packed = folded(wanted.mapInArrow(mark, BLOCKS), bits // 8, np.uint8, np.bitwise_or)
 
-    def sets(batches):
+    def rows(batches):
         there = None if packed is None else np.unpackbits(packed).view(bool)
         for batch in batches:
             for _, _, values, offsets in shingle_sets(batch.column(0)):
@@ -389,16 +389,24 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     start = np.concatenate([[0], np.cumsum(sizes)])
                     own = values[np.repeat(offsets[at] - start[:-1], sizes) + np.arange(start[-1])]
                     raw = own.astype("<u8").tobytes()
-                    yield pa.RecordBatch.from_arrays([names(one[at], two[at]), pa.array(key[at].view(np.int64)), pa.array(cells(own, start), pa.binary()), pa.array([raw[8 * x : 8 * y] for x, y in zip(start.tolist(), start[1:].tolist(), strict=False)], pa.binary())], ["node", "key", "cells", "shingles"])
+                    content = cells(own, start) if column == "cells" else [raw[8 * x : 8 * y] for x, y in zip(start.tolist(), start[1:].tolist(), strict=False)]
+                    yield pa.RecordBatch.from_arrays([names(one[at], two[at]), pa.array(key[at].view(np.int64)), pa.array(content, pa.binary())], ["node", "key", column])
 
-    made = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(sets, "node binary, key long, cells binary, shingles binary")
+    made = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(rows, f"node binary, key long, {column} binary")
     if packed is None:
         made = made.join(wanted, "key", "left_semi")
-    return shared(made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("key", "cells", "shingles"))).withColumn("id", F.monotonically_increasing_id()))
+    return made.groupBy("node").agg(F.first("key").alias("key"), F.first(column).alias(column))
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, node, key, cells of the classes whose key is wanted. Ids are numbers that hold for the checkpoint."""
+    return shared(class_rows(docs, wanted, "cells").withColumn("id", F.monotonically_increasing_id()))
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their shingles."""
+def checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their shingles, which are read from the documents once more."""
+    named = shared(sets.select("id", "node", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
+    own = shared(class_rows(docs, named.select("key").distinct(), "shingles").join(named.select("id", "node"), "node").select("id", "shingles"))
 
     def compare(batches):
         for batch in batches:
@@ -409,7 +417,7 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * both >= 75 * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return with_both(pairs, sets, "shingles").mapInArrow(compare, "a long, b long")
+    return with_both(pairs, own, "shingles").mapInArrow(compare, "a long, b long")
 
 
 def with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -497,13 +505,15 @@ def linked(docs: DataFrame, common: np.ndarray) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array([possible(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
 
     best = shared(with_both(best, sets, "cells").mapInArrow(sieve, "a long, b long"))
-    first = shared(checked(best, sets))
+    freed(docs)
+    first = shared(checked(best, sets, docs))
     labels = components(first)
     freed(docs)
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = shared(compared(star, labels, sets).join(tried, ["a", "b"], "left_anti"))
-    more = shared(checked(pairs, sets))
-    if more.limit(1).count():
+    freed(docs)
+    more = shared(checked(pairs, sets, docs)) if pairs.limit(1).count() else None
+    if more is not None and more.limit(1).count():
         labels = components(first.union(more))
     freed(docs)
     return labels.join(sets.select(F.col("id"), "node").withColumnRenamed("node", "name"), F.col("node") == F.col("id")).select(F.col("name").alias("node"), F.col("component").alias("label"))
