@@ -1,13 +1,16 @@
-"""Secret scans over a trigram inverted index, in DataFrame functions only.
+"""Secret scans over trigram postings, in DataFrame functions only.
 
 From each rule's regular expression follows a Boolean query of trigrams that every match must hold (in lower case): a disjunction
-of conjunctions. The index has a posting (document, trigram) for each trigram of the rules' vocabulary; intersecting postings is
-one aggregation by document, combined before the shuffle, and a document is a candidate of a rule if a conjunction is complete.
-Candidates are verified with the expression over their whole text. Rules without a mandatory trigram scan all texts.
+of conjunctions. The index is over the trigrams of these queries (``vocabulary``): each text's postings are the bits of the
+vocabulary's trigrams that it holds, kept beside the row, so intersecting postings is an operation on bits, and no text and no posting
+is shuffled. ``postings`` gives the same index inverted, a row for each trigram and document, for those who want to store it.
+Candidates, whose postings complete a conjunction of a rule, are verified with the expression over their whole text. Rules without
+a mandatory trigram scan all texts.
 
 Spans are kind:start:end in code points, end exclusive, leftmost and non-overlapping inside a kind; matches that fail a rule's
-least length are dropped after matching. Null texts are empty and have no spans. Rows repeated, or of null doc_id: each gives a
-row. Other columns are ignored. Empty table: no rows.
+least length are dropped after matching. A text of n matches is told in steps of n ** 1.5 at most. Null texts are empty and have no
+spans. Rows repeated, or of null doc_id: each gives a row. Other columns are ignored. Empty table: no rows. Very long texts are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -86,57 +89,79 @@ def vocabulary(rules: dict) -> list[str]:
     return sorted({g for x in rules.values() for c in trigram_query(x[0]) or [] for g in c})
 
 
+def masks(text: Column, rules: dict = RULES) -> list[Column]:
+    """The text's postings: bits of the vocabulary's trigrams in it, 63 in each number."""
+    low, words = F.lower(text), vocabulary(rules)
+    bits = [F.when(F.contains(low, F.lit(g)), F.lit(1 << (i % 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i, g in enumerate(words)]
+    return [reduce(Column.bitwiseOR, bits[i : i + 63]) for i in range(0, len(words), 63)]
+
+
 def postings(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """The inverted index: (trigram, doc_id), trigram as its place in ``vocabulary``."""
-    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    there = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(vocabulary(rules))]))
-    return docs.select("doc_id", F.explode(there).alias("trigram"))
-
-
-def candidates(index: DataFrame, rules: dict = RULES) -> DataFrame:
-    """doc_id and the kinds (as bits) whose trigram query its postings satisfy."""
-    words = vocabulary(rules)
-    sets = [F.bit_or(F.when(F.col("trigram").between(63 * k, 63 * k + 62), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram") - 63 * k)).otherwise(0)).alias(f"m{k}") for k in range(-(-len(words) // 63))]
-    kinds = []
-    for bit, (expression, *_) in enumerate(rules.values()):
-        if query := trigram_query(expression):
-            full = []
-            for conjunction in query:
-                need = [sum(1 << (words.index(g) % 63) for g in conjunction if words.index(g) // 63 == k) for k in range(len(sets))]
-                full.append(reduce(Column.__and__, [F.col(f"m{k}").bitwiseAND(F.lit(n)) == n for k, n in enumerate(need) if n]))
-            kinds.append(F.when(reduce(Column.__or__, full), 1 << bit).otherwise(0))
-    return index.groupBy("doc_id").agg(*sets).select("doc_id", reduce(Column.__add__, kinds).alias("kinds")).filter("kinds > 0")
-
-
-def spans(text: Column, kind: str, rules: dict = RULES) -> Column:
-    """start, order, end, kind of a rule's matches in a text, in order."""
+    held = docs.select("doc_id", *(m.alias(f"m{k}") for k, m in enumerate(masks(F.coalesce(F.col("text").cast("string"), F.lit("")), rules))))
+    there = F.array_compact(F.array(*[F.when(F.col(f"m{i // 63}").bitwiseAND(F.lit(1 << (i % 63))) != 0, F.lit(i)) for i in range(len(vocabulary(rules)))]))
+    return held.select("doc_id", F.explode(there).alias("trigram"))
+
+
+def candidate(held: list[Column], kind: str, rules: dict = RULES) -> Column | None:
+    """Whether postings complete a conjunction of the rule; None if it has no query."""
+    if not (query := trigram_query(rules[kind][0])):
+        return None
+    words, full = vocabulary(rules), []
+    for conjunction in query:
+        need = [sum(1 << (words.index(g) % 63) for g in conjunction if words.index(g) // 63 == k) for k in range(len(held))]
+        full.append(reduce(Column.__and__, [held[k].bitwiseAND(F.lit(n)) == n for k, n in enumerate(need) if n]))
+    return reduce(Column.__or__, full)
+
+
+SPAN = "array<struct<start:int,place:int,end:int,kind:string>>"
+
+
+def spans(text: Column, found: Column, kind: str, rules: dict = RULES) -> Column:
+    """start, place, end, kind of a rule's matches (``found``) in a text, in order. Places are summed up in runs of about the root of
+    their number, since an array that grows by one is copied each time."""
     expression, group, least, _ = rules[kind]
     order = list(rules).index(kind)
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(expression), F.lit(group)) if group else found
-    gaps = F.split(text, expression, -1)
-    shape = "struct<at:int,out:array<struct<start:int,place:int,end:int,kind:string>>>"
-    parts = F.zip_with(F.zip_with(found, sized, lambda m, g: F.struct(F.char_length(m).alias("m"), F.char_length(g).alias("g"))), F.transform(gaps, F.char_length), lambda x, gap: F.struct(x["m"].alias("m"), x["g"].alias("g"), gap.alias("gap")))
+    parts = F.zip_with(
+        F.transform(found, lambda m: F.struct(F.char_length(m).alias("m"), F.char_length(F.regexp_extract(m, expression, group) if group else m).alias("g"))),
+        F.transform(F.slice(F.split(text, expression, -1), F.lit(1), F.size(found)), F.char_length),
+        lambda x, gap: F.struct(x["m"].alias("m"), x["g"].alias("g"), gap.alias("gap")),
+    )
+
+    def runs(x: Column) -> Column:
+        each = F.ceil(F.sqrt(F.size(x))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / each).cast("int")), lambda i: F.slice(x, i * each + 1, each))
 
     def step(a, x):
         start = a["at"] + x["gap"]
         one = F.struct(start.alias("start"), F.lit(order).alias("place"), (start + x["m"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((start + F.coalesce(x["m"], F.lit(0))).alias("at"), F.when(x["g"] >= least, F.array_append(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return F.struct((start + x["m"]).alias("at"), F.when(x["g"] >= least, F.array_append(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    def told(x: Column) -> Column:
+        lengths = F.transform(x, lambda run: F.aggregate(run, F.lit(0), lambda n, y: n + y["gap"] + y["m"]))
+        before = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        begin = lambda at: F.struct(at.alias("at"), F.from_json(F.lit("[]"), SPAN).alias("out"))
+        return F.flatten(F.zip_with(x, F.slice(before, F.lit(1), F.size(x)), lambda run, at: F.aggregate(run, begin(at), step, lambda a: a["out"])))
 
-    begin = F.from_json(F.lit('{"at":0,"out":[]}'), shape)
-    return F.when(F.regexp_like(text, F.lit(expression)), F.aggregate(parts, begin, step, lambda a: a["out"])).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int,kind:string>>"))
+    # a run of one element, so that its expression is evaluated once
+    made = F.element_at(F.transform(F.array(F.struct(parts.alias("x"))), lambda p: told(runs(p["x"]))), 1)
+    return F.when(F.size(found) > 0, made).otherwise(F.from_json(F.lit("[]"), SPAN))
 
 
 def scan(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """doc_id and found: the spans (start, place, end, kind) of all kinds in order of start, then of the rules."""
-    known = candidates(postings(docs, rules), rules).withColumnRenamed("doc_id", "id").hint("shuffle_hash")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int,kind:string>>")
-    each = []
-    for bit, (kind, rule) in enumerate(rules.items()):
-        here = spans(F.col("text"), kind, rules)
-        each.append(F.when(F.coalesce(F.col("kinds"), F.lit(0)).bitwiseAND(1 << bit) != 0, here).otherwise(none) if trigram_query(rule[0]) else here)
-    return rows.select("doc_id", F.sort_array(F.concat(*each)).alias("found"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", *(m.alias(f"m{k}") for k, m in enumerate(masks(F.col("text"), rules))))
+    held = [F.col(c) for c in rows.columns[2:]]
+    none = F.from_json(F.lit("[]"), "array<string>")
+    found = {}
+    for kind, (expression, *_) in rules.items():
+        all_ = F.regexp_extract_all("text", F.lit(expression), F.lit(0))
+        may = candidate(held, kind, rules)
+        found[f"f_{kind}"] = all_ if may is None else F.when(may, all_).otherwise(none)
+    # each kind's matches are a column of their own, so that its expression runs once
+    rows = rows.select("doc_id", "text", *(x.alias(c) for c, x in found.items()))
+    return rows.select("doc_id", F.sort_array(F.concat(*(spans(F.col("text"), F.col(f"f_{kind}"), kind, rules) for kind in rules))).alias("found"))
 
 
 def digest(found: DataFrame, rules: dict = RULES) -> DataFrame:
