@@ -334,6 +334,29 @@ def test_licences_of_real_notices(spark, way):
     assert got == {0: ("Apache-2.0", "ABCDE"), 1: ("MIT", "NO"), 2: three, 3: three, 4: ("BSD-2-Clause", "RST"), 5: three, 6: ("GPL-3.0-or-later", "HIJ"), 7: ("MPL-2.0", "X"), 8: ("Apache-2.0", "ABCDE"), 9: ("GPL-3.0-or-later,MIT", "NO HIJ")}
 
 
+MORE = {
+    "GPL-2.0-or-later": GPL.replace("version 3", "version 2"),
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute,\nexecute, and transmit the Software",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified\ncopies of this license document, and changing it is allowed as long\nas the name is changed.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.",
+    "EPL-2.0": "// SPDX-License-Identifier: EPL-2.0",
+    "MIT": "/* SPDX-License-Identifier: MIT */",
+    "GPL-2.0-only": "# SPDX-License-Identifier: GPL-2.0-only\nimport os",
+}
+
+
+def test_more_licences(spark):
+    items = [f"Some words before.\n\n{t}\n\nSome words after." for t in MORE.values()]
+    got = {r.doc_id: r.licences for r in licences.scan(frame(spark, items, extra=False)).collect()}
+    assert got == dict(enumerate(MORE))
+
+
 def test_licences_keep_short_sentences_apart(spark):
     items = ["This work is licensed under the GNU General Public License version 3 or any later version.", "It was never released under the MIT License\nat all.", "Released under the\n MIT License."]
     assert [r.licences for r in licences.scan(frame(spark, items, extra=False)).orderBy("doc_id").collect()] == ["", "", "MIT"]
