@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Cut lineage through a checkpoint in the cluster's shared folder (``spark.checkpoint.dir``; a temporary one only where it is unset)."""
+    """Cut lineage through a checkpoint in the cluster's shared folder, ``spark.checkpoint.dir``. Where that is unset, a local master takes a temporary folder; a cluster has no place that all share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

@@ -8,7 +8,7 @@ the logistic of the intercept and one table entry for each feature and pair: vec
 Labels come only from documents whose crc32(doc_id as text) mod 5 is not 0, at most ``SAMPLE`` of them (those with the least
 hash of doc_id); language, source and doc_id are no inputs. Several labels of a document: the lowest counts. Without usable
 labels every score is 0.5. Null text is empty; empty texts are scored like others. Null doc_id: not held out, never trained on. Rows
-repeated: each gives a row. ``rejected`` documents are those with a score under ``THRESHOLD``.
+repeated: each gives a row; other columns are ignored; an empty table gives no rows; very long texts are measured whole. ``rejected`` documents are those with a score under ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -188,30 +188,32 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from features (doc_id, x) and labels; at most ``sample`` rows reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from documents and labels. Documents are joined with labels by doc_id alone; at most ``sample`` ids are broadcast, and features are computed for their documents only."""
     marks = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
-    known = rows.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select(F.xxhash64("doc_id").alias("h"), "x", "y").orderBy("h", "x").limit(sample)
-    got = known.collect()
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = plain.select("doc_id").filter(~held_out(F.col("doc_id"))).distinct().join(marks, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample)
+    ids = shared(ids)
+    known = feature_table(plain.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(ids), "doc_id")
+    got = known.select("h", "x", "y").orderBy("h", "x").limit(sample).collect()
     return train(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.y for r in got]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    rows = shared(feature_table(docs))
-    model = fit(rows, labels)
+    model = fit(docs, labels)
 
     def run(batches):
         for batch in batches:
-            flat = batch.column(1).flatten()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(np.asarray(flat).reshape(-1, len(FEATURES))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(batch.column(1))))], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that are not rejected."""
-    model = fit(feature_table(docs), labels)
+    model = fit(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches):

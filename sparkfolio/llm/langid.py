@@ -6,9 +6,11 @@ follow-the-regularised-leader (proximal, per-coordinate steps) with an elastic n
 temperature is fitted on training rows that the regression didn't see, so that scores are calibrated probabilities.
 
 Learned only from text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0; the regression takes at most
-``SAMPLE`` of them (those with the least hash of doc_id), a fifth of which go to the temperature. The prediction is a learned
+``SAMPLE`` of them, an equal share for each language (those with the least hash of doc_id; ``LEAST_SHARE`` of each if languages are
+many), a fifth of which go to the temperature. The prediction is a learned
 lang value, or "und" with score 0 if the text is null, empty or has no letter, or nothing could be learned. Null doc_id: not held
-out, never trained on. Rows repeated: each gives a row. Other columns are ignored.
+out, never trained on. Rows repeated: each gives a row. Other columns are
+ignored. Empty table: no rows. Very long texts are read whole, ``PART`` characters at a time.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, strings
+from .common import bounded, shared, strings
 from .gam import held_out
 from .jaccard import BLOCKS, blocks, folded
 
-WIDTH, GRAMS, SAMPLE = 4096, 3, 5_000
+WIDTH, GRAMS, SAMPLE, LEAST_SHARE = 4096, 3, 5_000, 50
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.5, 1.0, 3
 UNKNOWN = "und"
 #: Characters that are hashed at a time.
@@ -124,9 +126,12 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    last = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
+    # every language of the training rows is a class; each gives an equal share of the sample, and at least the fewest rows that a class needs
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    if not names:
         return None
+    share = max(LEAST_SHARE, sample // len(names))
+    first = known.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= share).select("lang", "h")
     total = document_frequencies(known.select("text"))
     idf = np.log((1 + total[-1]) / (1 + total[:WIDTH])) + 1
 
@@ -135,15 +140,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             at = [(np.flatnonzero(c), c) for c in counts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.uint16).tobytes() for i, _ in at], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() for i, c in at], pa.binary()), batch.column(2)], ["h", "at", "n", "lang"])
 
-    # rows of one doc_id share a hash, hence the second limit
-    rows = known.filter(F.col("h") <= last).mapInArrow(sparse, "h long, at binary, n binary, lang string").orderBy("h", "lang", "at", "n").limit(sample).collect()
-    names = sorted({r.lang for r in rows})
-    y = np.array([names.index(r.lang) for r in rows])
+    # at most ``sample`` (or LEAST_SHARE for each language) pairs are broadcast; rows of one doc_id share a hash, hence the second limit
+    own = known.join(F.broadcast(shared(first)), ["lang", "h"], "left_semi").select("h", "text", "lang").mapInArrow(sparse, "h long, at binary, n binary, lang string")
+    rows = own.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "n"))).filter(F.col("place") <= share).orderBy("h", "lang", "at", "n").collect()
+    number = {x: i for i, x in enumerate(names)}
+    y = np.array([number[r.lang] for r in rows])
     x = np.zeros((len(rows), WIDTH), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.uint32)
     x = weigh(x, idf)
-    aside = np.arange(len(rows)) % 5 == 4
+    # the fifth row of each language is laid aside for the temperature
+    aside = np.array([r.place % 5 == 0 for r in rows])
     w = ftrl(x[~aside], y[~aside], len(names))
     return Model(names, idf, w, temperature(x[aside] @ w[:-1] + w[-1], y[aside]))
 

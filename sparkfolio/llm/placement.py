@@ -5,7 +5,7 @@ its name. Shards take turns (``weight`` of them a round), each claiming its next
 split evenly, and adding or losing a shard moves few. The table's size is fixed by the number of shards, never by the data; it
 goes to the executors as a constant array and places a key in constant time: key hash modulo size, then one array access.
 
-A null key has slot and shard of the empty key. Repeated keys share a shard. Other columns are kept; clashing ones named slot
+Empty table: no rows. Very long keys are hashed whole. A null key has slot and shard of the empty key. Repeated keys share a shard. Other columns are kept; clashing ones named slot
 or shard are replaced.
 """
 
@@ -29,6 +29,8 @@ def lookup_table(names: list[str], size: int = TABLE_SIZE, weights: list[int] |
     """Number of the shard that holds each slot."""
     if not names or len(names) > size or any(size % d == 0 for d in range(2, int(size**0.5) + 1)):
         raise ValueError("a table needs a prime size and at least one, at most size, shards")
+    if weights is not None and (len(weights) != len(names) or min(weights) < 0 or not any(weights)):
+        raise ValueError("every shard needs a weight of 0 or more, and one of them more than 0")
     prefer = [preference(n, size) for n in names]
     place, table, free = [0] * len(names), [-1] * size, size
     while free:

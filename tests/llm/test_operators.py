@@ -477,3 +477,24 @@ def test_exact_dedup_decides_for_rows(spark):
     assert stage(spark, "exact_dedup", [(1, "x y"), (None, "xy"), (2, "z")]) == Counter([(1, "x y"), (2, "z")])
     rows = [(1, "x y"), (None, "xy"), (3, "other"), (3, "x y"), (4, "q"), (4, "q "), (None, "only"), (None, "only"), (None, "another")]
     assert stage(spark, "exact_dedup", rows) == Counter([(1, "x y"), (3, "other"), (4, "q "), (None, "only"), (None, "another")])
+
+
+CLASHES = ["row", "number", "sha", "node", "key", "id", "a", "b", "digest", "length", "piece", "kinds", "m0", "found", "slot", "component_id", "x", "y", "h", "lettered", "salt", "_row"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h i"), (None, "token = abcdefgh"), (3, None), (4, "")]
+    plain = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    more = plain.selectExpr("*", *(f"'kept' AS `{c}`" for c in CLASHES))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "1 AS h", "2 AS y")
+    bench = spark.createDataFrame([(7, "a b c d e f g h")], "item_id long, text string").selectExpr("*", "1 AS seed", "2 AS key")
+    path = queries.vocabulary()
+    made = [licences.scan, lambda d: tiling.contamination(d, bench), lambda d: packing.pack(d, path).drop("sequence_id", "offset"), lambda d: gam.score(d, labels), jaccard.near_duplicates, lambda d: secrets.digest(secrets.scan(d)), langid.identify, exact.exact_duplicates, lambda d: placement.place(d, "doc_id", [0, 1, 0]).select("doc_id", "slot", "shard")]
+    for f in made:
+        assert sorted(map(str, f(plain).collect())) == sorted(map(str, f(more).collect()))
+    chats = spark.createDataFrame([(1, 0, "user", "x", "kept", "kept")], "conv_id long, turn long, role string, text string, rows string, segments string")
+    assert chat.format_chats(chats).first().formatted == "[INST]x[/INST]"
+    for name, stage_ in corpus_pipeline.STAGES[:-1]:
+        got = stage_(spark, more, FOLDER)
+        assert got.columns == more.columns
+        assert got.filter(" OR ".join(f"`{c}` <> 'kept'" for c in CLASHES)).count() == 0, name
