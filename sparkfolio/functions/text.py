@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,13 @@ def compact(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"(?U)\s+", "")
 
 
+# Kinds that an address may begin with.
+ADDRESS_KINDS = "PART|SECTION|CHAPTER|ARTICLE"
+
+
 def base_key(x: Column) -> Column:
-    """An address without its leading kind, letters and digits only."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)^\s*(part|section|chapter|article)\s+", "")), "[^a-z0-9]", "")
+    """An address without its leading kind (nothing stands before that), letters and digits only."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?i)^({ADDRESS_KINDS})\s+", "")), "[^a-z0-9]", "")
 
 
 def child_key(x: Column) -> Column:
@@ -75,8 +81,19 @@ def search_text(kind: Column, identifier: Column, title: Column) -> Column:
     return F.when(full(identifier).isNull() & full(title).isNull(), None).otherwise(F.concat_ws(" ", F.replace(kind, F.lit("_"), F.lit(" ")), full(identifier), full(title)))
 
 
-def safe_name(x: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^A-Za-z0-9._-]", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit("unknown"))
+def safe_name(x: Column, empty: str = "unknown") -> Column:
+    """A name for files: each run of other characters as one _, no _ or . at the ends."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit(empty))
+
+
+def storage_path(user: Column, document: Column, filename: Column) -> Column:
+    """Where a document's file lies, by the last part of its name."""
+    return F.concat_ws("/", F.lit("users"), user, F.lit("documents"), document, safe_name(F.substring_index(filename, "/", -1), "document.pdf"))
+
+
+def bare_title(filename: Column) -> Column:
+    """A file's name without its extension."""
+    return F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "")
 
 
 def line_signature(x: Column) -> Column:
@@ -94,8 +111,49 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda t: t != "")
 
 
+# How sections and subsections open a line.
+SECTION_OPENING, SUBSECTION_OPENING = r"(?m)^\s*(\d{1,3}[A-Z]{0,3})\.\s+\S", r"(?m)^\s*\((\d{1,2}[A-Z]?)\)\s+\S"
+
+
 def section_numbers(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(r"(?m)^\s*(\d{1,3}[A-Z]{0,3})\."), F.lit(1))
+    return F.regexp_extract_all(x, F.lit(SECTION_OPENING), F.lit(1))
+
+
+def subsection_numbers(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(SUBSECTION_OPENING), F.lit(1))
+
+
+def natural_key(identifier: Column) -> Column:
+    """Sorts 2 before 10 and 67A after 67; others last."""
+    plain = F.regexp_like(identifier, F.lit("^[0-9]+[A-Z]*$"))
+    return F.struct(F.when(plain, F.regexp_extract(identifier, "^[0-9]+", 0).cast("long")).otherwise(F.lit(10**9)).alias("number"), F.when(plain, F.regexp_extract(identifier, "[A-Z]*$", 0)).otherwise(identifier).alias("suffix"))
+
+
+def labelled_pages(x: Column) -> Column:
+    """(label, text) of a text whose pages begin with a line [[PAGE_LABEL: n]]; what stands before the first one is dropped."""
+    marker = r"(?m)^\[\[PAGE_LABEL:\s*(\d+)\]\][^\S\r\n]*\r?$"
+    return F.zip_with(F.regexp_extract_all(x, F.lit(marker), F.lit(1)), F.slice(F.split(x, marker, -1), F.lit(2), F.size(F.regexp_extract_all(x, F.lit(marker), F.lit(1)))), lambda n, t: F.struct(n.cast("int").alias("label"), t.alias("text")))
+
+
+def provision_text(body: Column, title: Column, path: Column, kind: Column) -> Column:
+    """A chunk's text without its search labels, if they equal those that its title and path give."""
+    first = F.concat(F.lit("Document: "), title, F.lit("\n"))
+    second = F.concat(F.lit("Hierarchy: "), F.array_join(path, " > "), F.lit("\n"))
+    table = F.concat(F.lit("Document: "), title, F.lit(". "))
+    rest = F.substring(body, F.char_length(first) + 1, F.char_length(body))
+    full = F.coalesce(title, F.lit("")) != ""
+    return (
+        F.when(full & F.startswith(body, first), F.when((F.size(path) > 0) & F.startswith(rest, second), F.substring(rest, F.char_length(second) + 1, F.char_length(rest))).otherwise(rest))
+        .when(full & (kind == "table") & F.startswith(body, table), F.substring(body, F.char_length(table) + 1, F.char_length(body)))
+        .otherwise(body)
+    )
+
+
+def all_matches(page: Column, anchor: Column) -> Column:
+    """Offsets (from 0) of all places, overlapping ones too, where a page in lower case holds an anchor."""
+    low, word = F.lower(page), F.lower(anchor)
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(low) - F.char_length(word)))
+    return F.when(F.coalesce(word, F.lit("")) == "", F.array().cast("array<int>")).when(~F.contains(low, word), F.array().cast("array<int>")).otherwise(F.filter(places, lambda i: F.substring(low, i + 1, F.char_length(word)) == word))
 
 
 def first_match(page: Column, anchor: Column) -> Column:
@@ -104,11 +162,32 @@ def first_match(page: Column, anchor: Column) -> Column:
     return F.when(collapse(anchor) == "", 0).otherwise(F.regexp_instr(page, F.concat(F.lit("(?i)"), F.regexp_replace(literal, " ", r"\\s+"))))
 
 
+# The causes of a failed processing in order, each with alternatives of words that a message must hold together.
+ERRORS = [
+    ("encrypted", [["encrypt"], ["password"]]),
+    ("page_limit", [["page limit"]]),
+    ("spend_limit", [["organization_spend_limit_exceeded"], ["insufficient_quota"], ["spend limit"]]),
+    ("scope_boundary", [["scope boundary"], ["node scopes"]]),
+    ("page_mapping", [["page mapping resolved 0"], ["page hint"]]),
+    ("table_link", [["table", "matched"], ["table extraction validation failed"], ["table profile validation failed"]]),
+    ("damaged", [["invalid pdf"], ["invalid xref"], ["damaged"], ["corrupt"]]),
+]
+
+
 def error_kind(message: Column) -> Column:
-    """The first of an ordered ladder of causes that a message holds."""
+    """The first cause whose words a message holds, else unexpected."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    ladder = [("quota", "quota"), ("rate limit", "rate_limit"), ("timed out", "timeout"), ("timeout", "timeout"), ("connection", "network")]
-    out = None
-    for part, kind in ladder:
-        out = F.when(F.contains(low, F.lit(part)), kind) if out is None else out.when(F.contains(low, F.lit(part)), kind)
-    return out.otherwise("other")
+    out = F
+    for kind, alternatives in ERRORS:
+        holds = reduce(Column.__or__, [reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in words]) for words in alternatives])
+        out = out.when(holds, kind)
+    return out.otherwise("unexpected")
+
+
+def safe_url(url: Column) -> Column:
+    """Whether a return address may be used: https, or http on this machine, without user, query and fragment."""
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    host = F.coalesce(part("HOST"), F.lit(""))
+    near = (part("PROTOCOL") == "http") & host.isin("localhost", "127.0.0.1")
+    return F.coalesce((host != "") & part("USERINFO").isNull() & ((part("PROTOCOL") == "https") | near) & (F.coalesce(part("QUERY"), F.lit("")) == "") & (F.coalesce(part("REF"), F.lit("")) == ""), F.lit(False))
+

@@ -3,43 +3,89 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _recursive(nodes: DataFrame, sql: str) -> DataFrame:
-    name = f"tree_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(name)
-    return nodes.sparkSession.sql(sql.format(t=name))
+def shared_folder(spark) -> str:
+    """The checkpoint folder that the cluster shares, ``spark.checkpoint.dir``; a local master may go without one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table written to the shared folder, which also forgets what the planner has inferred about the rows."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def walk(start: DataFrame, step) -> DataFrame:
+    """Rows of start, of step(start), of step of these and so on until there are none: one join for each level of the tree, however many rows."""
+    out = level = cut(start)
+    while not level.isEmpty():
+        level = cut(step(level))
+        out = out.unionByName(level)
+    return out
+
+
+def closure(nodes: DataFrame, label: str) -> DataFrame:
+    """ancestor_id, node_id, path (labels from the ancestor down to the node) for every node and ancestor, itself included. A node that is its own ancestor is walked once."""
+    child = nodes.select(F.col("node_id").alias("child"), F.col("parent_id").alias("up"), F.col(label).alias("label"))
+    first = nodes.select(F.col("node_id").alias("ancestor_id"), "node_id", F.array(F.coalesce(label, F.lit(""))).alias("path"), F.array("node_id").alias("seen"))
+
+    def step(level):
+        grown = level.join(child, level["node_id"] == child["up"]).filter(~F.array_contains("seen", F.col("child")))
+        return grown.select("ancestor_id", F.col("child").alias("node_id"), F.concat("path", F.array(F.coalesce("label", F.lit("")))).alias("path"), F.concat("seen", F.array("child")).alias("seen"))
+
+    return walk(first, step).drop("seen")
 
 
 def descendants(nodes: DataFrame, roots: str) -> DataFrame:
-    """root_id, node_id, distance for every node under the roots (a condition), themselves included."""
-    return _recursive(nodes, f"""WITH RECURSIVE w(root_id, node_id, distance) AS (
-      SELECT node_id, node_id, 0 FROM {{t}} WHERE {roots}
-      UNION ALL SELECT w.root_id, n.node_id, w.distance + 1 FROM w JOIN {{t}} n ON n.parent_id = w.node_id) SELECT * FROM w""")
+    """root_id, node_id, distance for every node under the roots (a condition), themselves included. A root that is its own descendant isn't walked again."""
+    child = nodes.select(F.col("node_id").alias("child"), F.col("parent_id").alias("up"))
+    step = lambda level: level.join(child, level["node_id"] == child["up"]).filter(~F.array_contains("seen", F.col("child"))).select("root_id", F.col("child").alias("node_id"), (F.col("distance") + 1).alias("distance"), F.concat("seen", F.array("child")).alias("seen"))
+    return walk(nodes.filter(roots).select(F.col("node_id").alias("root_id"), "node_id", F.lit(0).alias("distance"), F.array("node_id").alias("seen")), step).drop("seen")
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """node_id, order (sequence numbers from the root) and path (titles): sorting by order is depth first."""
-    return _recursive(nodes, """WITH RECURSIVE w(node_id, ord, path) AS (
-      SELECT node_id, array(sequence_no), array(title) FROM {t} WHERE parent_id IS NULL
-      UNION ALL SELECT n.node_id, concat(w.ord, array(n.sequence_no)), concat(w.path, array(n.title)) FROM w JOIN {t} n ON n.parent_id = w.node_id)
-      SELECT node_id, ord AS `order`, path FROM w""")
+    """node_id, order (sequence numbers from the root) and path (titles): sorting by order is depth first. Nodes that no root reaches, as those of a cycle, have none."""
+    child = nodes.select(F.col("node_id").alias("child"), F.col("parent_id").alias("up"), F.col("sequence_no").alias("s"), F.col("title").alias("t"))
+    step = lambda level: level.join(child, level["node_id"] == child["up"]).select(F.col("child").alias("node_id"), F.concat("order", F.array("s")).alias("order"), F.concat("path", F.array("t")).alias("path"))
+    return walk(nodes.filter("parent_id IS NULL").select("node_id", F.array("sequence_no").alias("order"), F.array("title").alias("path")), step)
+
+
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with their number (from 1) in the order of ``by``: sorted by ranges, each range's rows counted, none brought together in one task."""
+    at, part = "number in its range", "range"
+    sorted_ = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() % F.lit(1 << 33)))
+    # one row for each partition
+    counts = {r[part]: r["count"] for r in sorted_.groupBy(part).count().collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    return sorted_.withColumn(name, F.get(F.array(*map(F.lit, before or [0])), F.col(part)).cast("long") + F.col(at) + 1).drop(at, part)
 
 
 def dfs_order(nodes: DataFrame) -> DataFrame:
-    """node_id with position from 1; nodes that no root reaches come last by depth and sequence. A global rank: for listings of one document."""
+    """node_id with position from 1; nodes that no root reaches come last by depth and sequence."""
     known = paths(nodes)
     orphans = nodes.join(known, "node_id", "left_anti").select("node_id", F.lit(1).alias("late"), F.array(F.col("depth").cast("int"), F.col("sequence_no").cast("int")).alias("order"))
     rows = known.select("node_id", F.lit(0).alias("late"), F.col("order").cast("array<int>").alias("order")).unionByName(orphans)
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("late", "order", "node_id"))).select("node_id", "position")
+    return numbered(rows, ["late", "order", "node_id"], "position").select("node_id", F.col("position").cast("int").alias("position"))
 
 
 def problems(nodes: DataFrame) -> DataFrame:
-    """node_id and problem: missing parent, duplicate sequence, wrong depth, unreachable, repeated id."""
+    """node_id and problem: missing parent, duplicate sequence, wrong depth, repeated id."""
     parent = nodes.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("up"))
     rows = [
         nodes.filter("parent_id IS NOT NULL").join(parent, "parent_id", "left_anti").select("node_id", F.lit("missing_parent").alias("problem")),
@@ -53,11 +99,9 @@ def problems(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def addresses(nodes: DataFrame) -> DataFrame:
-    """node_id under each ancestor: (base_id, node_id, child path of titles)."""
-    return _recursive(nodes, """WITH RECURSIVE w(base_id, node_id, child) AS (
-      SELECT node_id, node_id, CAST(array() AS ARRAY<STRING>) FROM {t}
-      UNION ALL SELECT w.base_id, n.node_id, concat(w.child, array(n.title)) FROM w JOIN {t} n ON n.parent_id = w.node_id) SELECT base_id, node_id, array_join(child, '/') AS child FROM w""")
+def unreachable(nodes: DataFrame) -> DataFrame:
+    """node_id of nodes that no root reaches: below a missing parent, or in a cycle."""
+    return nodes.select("node_id").join(paths(nodes), "node_id", "left_anti")
 
 
 def resolve_references(references: DataFrame, targets: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -65,11 +64,13 @@ def node_hierarchy_search(spark, d):
 
 
 def _lists(spark, d):
-    near = retrieval.similarity(tables.doc_chunks(spark, d), _query(spark, d), 0.1)
-    return retrieval.ranked(near.withColumn("path", F.expr("CASE node_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'node' ELSE 'exact' END")), [F.desc("similarity"), "chunk_id"], ["path"])
+    """Three lists; ranks count all rows of a list, also those that the threshold drops afterwards. Exact rows bypass it."""
+    every = retrieval.similarity(tables.doc_chunks(spark, d), _query(spark, d), -1.0)
+    lists = retrieval.ranked(every.withColumn("path", F.expr("CASE node_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'node' ELSE 'exact' END")), [F.desc("similarity"), "chunk_id"], ["path"])
+    return lists.filter("path = 'exact' OR similarity >= 0.1")
 
 
-LISTS = f"WITH c AS ({CHUNKS}), l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT *, CASE node_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'node' ELSE 'exact' END AS path FROM c WHERE similarity >= 0.1))"
+LISTS = f"WITH c AS ({CHUNKS}), l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT *, CASE node_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'node' ELSE 'exact' END AS path FROM c) QUALIFY path = 'exact' OR similarity >= 0.1)"
 WEIGHTS = {"vector": 1.0, "node": 1.0, "exact": 2.0}
 
 
@@ -112,22 +113,22 @@ def exact_identifier_anchor(spark, d):
 
 
 TREE = """t AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY k) - 1 AS sequence_no FROM (SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id, 0 AS depth, r_regionkey::BIGINT AS k, r_name AS title FROM region
-UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, n_nationkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 2, c_custkey, c_name FROM customer))"""
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, n_nationkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 2, c_custkey, c_name FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 3, o_orderkey, o_orderpriority FROM orders))"""
 
 
 @query(f"""WITH RECURSIVE {TREE}, w AS (SELECT node_id AS root_id, node_id, 0 AS distance FROM t WHERE depth = 1 UNION ALL SELECT w.root_id, t.node_id, w.distance + 1 FROM w JOIN t ON t.parent_id = w.node_id) SELECT * FROM w""")
 def subtree_expand(spark, d):
-    return trees.descendants(tables.tree_nodes(spark, d), "depth = 1")
+    return trees.descendants(tables.tree_nodes(spark, d, orders=True), "depth = 1")
 
 
 @query(f"""WITH RECURSIVE {TREE}, w AS (SELECT node_id, [sequence_no] AS o FROM t WHERE parent_id IS NULL UNION ALL SELECT t.node_id, list_append(w.o, t.sequence_no) FROM w JOIN t ON t.parent_id = w.node_id) SELECT node_id, (row_number() OVER (ORDER BY o, node_id))::INTEGER AS position FROM w""")
 def subtree_dfs_order(spark, d):
-    return trees.dfs_order(tables.tree_nodes(spark, d))
+    return trees.dfs_order(tables.tree_nodes(spark, d, orders=True))
 
 
 @query(f"""WITH RECURSIVE {TREE}, w AS (SELECT node_id, title AS path FROM t WHERE parent_id IS NULL UNION ALL SELECT t.node_id, w.path || ' > ' || t.title FROM w JOIN t ON t.parent_id = w.node_id) SELECT * FROM w""")
 def ancestor_path(spark, d):
-    return trees.paths(tables.tree_nodes(spark, d)).select("node_id", F.array_join("path", " > ").alias("path"))
+    return trees.paths(tables.tree_nodes(spark, d, orders=True)).select("node_id", F.array_join("path", " > ").alias("path"))
 
 
 @query("""WITH r AS (SELECT 's' || s_suppkey AS source_id, 'NATION_' || (s_nationkey + 5 * (s_suppkey % 2)) AS key FROM supplier), t AS (SELECT 'n' || n_nationkey AS node_id, n_name AS key FROM nation UNION ALL SELECT 'x' || n_nationkey, n_name FROM nation WHERE n_nationkey < 4),
@@ -293,10 +294,10 @@ def set_overlap(spark, d):
     return tables.read(spark, d, "part").select("p_partkey", F.round(text.overlap(F.array_distinct(F.split(F.lower("p_type"), " ")), F.array(*map(F.lit, ["promo", "standard", "tin", "steel"]))), 6).alias("share"))
 
 
-@query("SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name || ' / ' || p_brand), '[a-z0-9]+'), ' ') AS normalized, regexp_replace(p_brand || '..', '[^A-Za-z0-9._-]', '_', 'g').trim('._') AS folder, lower(regexp_replace(p_type, '\\s+', '', 'g')) AS compacted, regexp_replace(lower(p_name), '\\b\\d+\\b', '#', 'g') AS signature FROM part")
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name || ' / ' || p_brand), '[a-z0-9]+'), ' ') AS normalized, regexp_replace(p_brand || ' (new) ..', '[^A-Za-z0-9._-]+', '_', 'g').trim('._') AS folder, lower(regexp_replace(p_type, '\\s+', '', 'g')) AS compacted, regexp_replace(lower(p_name), '\\b\\d+\\b', '#', 'g') AS signature FROM part")
 def text_keys(spark, d):
     p = tables.read(spark, d, "part")
-    return p.select("p_partkey", text.normalize_text(F.concat_ws(" / ", "p_name", "p_brand")).alias("normalized"), text.safe_name(F.concat("p_brand", F.lit(".."))).alias("folder"), text.compact(F.col("p_type")).alias("compacted"), text.line_signature(F.col("p_name")).alias("signature"))
+    return p.select("p_partkey", text.normalize_text(F.concat_ws(" / ", "p_name", "p_brand")).alias("normalized"), text.safe_name(F.concat("p_brand", F.lit(" (new) .."))).alias("folder"), text.compact(F.col("p_type")).alias("compacted"), text.line_signature(F.col("p_name")).alias("signature"))
 
 
 @query("WITH k AS (SELECT conv_id, turn FROM conversations WHERE turn >= 2) SELECT conv_id, turn, (SELECT count(*) FROM k x WHERE x.conv_id = c.conv_id) > 0 AS stays FROM conversations c")
@@ -445,7 +446,7 @@ def page_map_forward(spark, d):
 
 
 def _streamed(spark, d, f, name, mode="append"):
-    return usage.run_once(f, name, tempfile.mkdtemp(prefix="stream-"), mode)
+    return usage.run_once(f, name, mode)
 
 
 def _events_alone(spark, d):
@@ -468,3 +469,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import indexing  # noqa: E402, F401  (registers its queries)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.trees import shared_folder
+
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -43,7 +46,12 @@ def holds(stream: DataFrame) -> DataFrame:
     return stream.groupBy("reservation_id").applyInPandasWithState(run, "reservation_id long, state string", "state string", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is available now, through a memory table; for tests and small results."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that is available now, as a table of files in the folder that the cluster shares; complete totals replace the files."""
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
