@@ -121,3 +121,20 @@ def test_standalone_tables_need_one_container(spark):
     rows, problems = grids.with_standalone_tables(nodes, given)
     assert sorted((r.node_id, r.parent_id, r.depth, r.sequence_no) for r in rows.collect() if r.parent_id) == [("1:t:2:3", "a", 1, 0), ("b", "a", 1, 1), ("c", "a", 1, 2)]
     assert sorted((r.table_id, r.containers) for r in problems.collect()) == [("u", 2), ("v", 0)]
+
+
+def test_base_key_strips_only_a_leading_kind(spark):
+    row = spark.sql("SELECT ' PART XII' AS a, 'PART XII' AS b").select(text.base_key(text.F.col("a")).alias("a"), text.base_key(text.F.col("b")).alias("b")).first()
+    assert tuple(row) == ("partxii", "xii")
+
+
+def test_trees_outlive_cycles(spark):
+    nodes = spark.createDataFrame([("a", None, 0, "A"), ("b", "a", 0, "B"), ("x", "y", 0, "X"), ("y", "x", 0, "Y")], "node_id string, parent_id string, sequence_no int, title string")
+    assert {r.node_id for r in trees.unreachable(nodes).collect()} == {"x", "y"}
+    got = {(r.ancestor_id, r.node_id) for r in trees.closure(nodes, "title").collect()}
+    assert got == {("a", "a"), ("a", "b"), ("b", "b"), ("x", "x"), ("x", "y"), ("y", "y"), ("y", "x")}
+
+
+def test_numbers_follow_the_whole_order(spark):
+    rows = trees.numbered(spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 AS k"), ["k"], "place").collect()
+    assert len(rows) == 5000 and all(r.place == r.k + 1 for r in rows)
