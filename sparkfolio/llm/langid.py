@@ -73,14 +73,19 @@ def weigh(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def weighed(at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row that holds the features ``at`` alone: these and their weights."""
+    return at, weigh(count.astype(np.float64), idf[at])
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
-    """Weights (features + 1 for the intercept, classes) after passes over the rows in a fixed order."""
-    width = x.shape[1] + 1
+def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int) -> np.ndarray:
+    """Weights (features + 1 for the intercept, classes) after passes over the sparse rows in a fixed order."""
+    width = WIDTH + 1
     z, n = np.zeros((width, classes)), np.zeros((width, classes))
 
     def weights(at):
@@ -89,8 +94,8 @@ def ftrl(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
 
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(y)).tolist():
-            at = np.append(np.flatnonzero(x[i]), width - 1)
-            value = np.append(x[i][at[:-1]], 1.0) * 4  # a scale on which the steps are neither tiny nor huge
+            at = np.append(x[i][0], width - 1)
+            value = np.append(x[i][1], 1.0) * 4  # a scale on which the steps are neither tiny nor huge
             w = weights(at)
             p = softmax(value @ w)
             p[y[i]] -= 1
@@ -145,14 +150,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = own.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "n"))).filter(F.col("place") <= share).orderBy("h", "lang", "at", "n").collect()
     number = {x: i for i, x in enumerate(names)}
     y = np.array([number[r.lang] for r in rows])
-    x = np.zeros((len(rows), WIDTH), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.uint32)
-    x = weigh(x, idf)
+    x = [weighed(np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.n, np.uint32), idf) for r in rows]
     # the fifth row of each language is laid aside for the temperature
     aside = np.array([r.place % 5 == 0 for r in rows])
-    w = ftrl(x[~aside], y[~aside], len(names))
-    return Model(names, idf, w, temperature(x[aside] @ w[:-1] + w[-1], y[aside]))
+    w = ftrl([r for r, a in zip(x, aside, strict=True) if not a], y[~aside], len(names))
+    logits = np.array([v @ w[at] + w[-1] for (at, v), a in zip(x, aside, strict=True) if a]).reshape(-1, len(names))
+    return Model(names, idf, w, temperature(logits, y[aside]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
