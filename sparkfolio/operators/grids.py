@@ -95,6 +95,11 @@ def _folded(values: Column, within: float = 0.1) -> Column:
 def row_spans(boxes: DataFrame) -> DataFrame:
     """fragment_id, spans: for each row of cells from the top, the columns (from 1) between which each covering cell (x0, y0, x1, y1) lies."""
     c = boxes.groupBy("fragment_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("b"))
+    return with_spans(c).filter("size(ys) > 1").select("fragment_id", "spans")
+
+
+def with_spans(c: DataFrame) -> DataFrame:
+    """Rows of boxes (b) with their distinct coordinates (xs, ys) and spans; spans are empty without two rows' edges."""
     c = c.withColumn("xs", _folded(F.concat("b.x0", "b.x1"))).withColumn("ys", _folded(F.concat("b.y0", "b.y1")))
 
     def place(x):
@@ -105,7 +110,8 @@ def row_spans(boxes: DataFrame) -> DataFrame:
         inside = F.filter("b", lambda b: (b["y0"] <= F.get("ys", i) + 0.1) & (b["y1"] >= F.get("ys", i + 1) - 0.1))
         return F.array_sort(F.transform(inside, lambda b: F.struct(place(b["x0"]).alias("start"), place(b["x1"]).alias("end"))))
 
-    return c.filter("size(ys) > 1").select("fragment_id", F.transform(F.sequence(F.lit(0), F.size("ys") - 2), spans).alias("spans"))
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ys") - 2)), spans)
+    return c.withColumn("spans", F.when(F.size("ys") > 1, rows).otherwise(F.slice(rows, 1, 0)))
 
 
 def rows_compatible(before: Column, after: Column) -> Column:
