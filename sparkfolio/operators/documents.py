@@ -28,11 +28,12 @@ def dedup_exact(chunks: DataFrame, key: list[str], order: str, document: str) ->
 
 
 def context_owner(rows: DataFrame, key: list[str], index: str) -> DataFrame:
-    """Whose body a row shows: the longest body of its key that contains its own, then the first; rows without node stand for themselves."""
-    owner = rows.select(*key, F.col(index).alias("_o"), F.col("body").alias("_b"))
-    inside = rows.join(owner, key).filter("contains(_b, body)")
-    best = inside.groupBy(*key, index).agg(F.min(F.struct((-F.char_length("_b")).alias("l"), F.col("_o").alias("owner"))).alias("best"))
-    return best.select(*key, index, F.col("best.owner").alias("owner"))
+    """Whose body a row shows: the longest body of its key that contains its own, then the first. Equal bodies are compared once, and only with bodies as long or longer."""
+    bodies = rows.groupBy(*key, "body").agg(F.min(index).alias("_o")).withColumn("_n", F.char_length("body"))
+    longer = bodies.select(*key, F.col("body").alias("_b"), F.col("_o").alias("_first"), F.col("_n").alias("_long"))
+    inside = bodies.join(longer, key).filter("_long >= _n AND contains(_b, body)")
+    best = inside.groupBy(*key, "body").agg(F.min(F.struct((-F.col("_long")).alias("l"), F.col("_first").alias("owner"))).alias("best"))
+    return rows.join(best, [*key, "body"]).select(*key, index, F.col("best.owner").alias("owner"))
 
 
 def next_boundary(scopes: DataFrame, key: str, start: list[str]) -> DataFrame:
@@ -66,10 +67,21 @@ def recommend_size(pages: DataFrame) -> DataFrame:
         F.min(F.when(F.col("run") >= F.floor((F.col("total") + 1) / 2), F.col("tokens"))).alias("a"), F.min(F.when(F.col("run") >= F.floor(F.col("total") / 2) + 1, F.col("tokens"))).alias("b"), F.max("tokens").alias("high"), F.max("total").alias("total")
     )
     middle = middle.select("owner", F.greatest(F.lit(1), F.floor((F.col("a") + F.col("b")) / 2)).cast("int").alias("low"), F.greatest(F.lit(1), "high").cast("int").alias("high"), "total")
-    tries = middle.select("owner", "high", "total", F.explode(F.sequence("low", "high")).alias("size"))
-    tested = tries.join(counts, "owner").groupBy("owner", "high", "total", "size").agg(F.sum(F.ceil(F.col("tokens") / F.col("size")) * F.col("n")).alias("chunks"), F.sum(F.when(F.ceil(F.col("tokens") / F.col("size")) > 2, F.col("n")).otherwise(0)).alias("many"))
-    fits = (F.col("chunks") < 2 * F.col("total")) & (F.col("many") <= F.floor(F.col("total") / 10))
-    return tested.groupBy("owner").agg(F.coalesce(F.min(F.when(fits, F.col("size"))), F.max("high")).cast("int").alias("size"))
+    sizes = counts.groupBy("owner").agg(F.collect_list(F.struct("tokens", "n")).alias("sizes"))
+
+    def fits(size):
+        chunks = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.ceil(x["tokens"] / size) * x["n"])
+        many = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.when(x["tokens"] > 2 * size, x["n"]).otherwise(0))
+        return (chunks < 2 * F.col("total")) & (many <= F.floor(F.col("total") / 10))
+
+    # both counts fall as the size grows, so halving finds the least size that fits; the greatest page always does
+    def halve(a, _):
+        middle_ = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        fit = fits(middle_)
+        return F.struct(F.when(fit, a["low"]).otherwise(F.least(a["high"], middle_ + 1)).alias("low"), F.when(fit, middle_).otherwise(a["high"]).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct("low", "high"), halve, lambda a: a["high"])
+    return middle.join(sizes, "owner").select("owner", found.alias("size"))
 
 
 def routine_lines(pages: DataFrame, least: int = 3) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Where a fragment must end and begin on its page, how near edges lie, share of edges that must be near.
 LOW_EDGE, HIGH_EDGE, TOLERANCE, SHARE = 0.85, 0.15, 0.01, 0.75
+#: Pages of a bucket of ranges.
+BUCKET = 16
 
 
 def overlaps(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
@@ -15,8 +18,9 @@ def overlaps(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
 
 def range_parent(ranges: DataFrame, nodes: DataFrame, on: str) -> DataFrame:
-    """The deepest, then tightest node that contains a range; null if the choice is not unique."""
-    held = ranges.join(nodes, on).filter("node_start <= start AND node_end >= end")
+    """The deepest, then tightest node that contains a range; null if the choice is not unique. Nodes are dealt to the buckets of pages that they span, a range looks only into that of its start."""
+    spread = nodes.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("node_start") / BUCKET), F.floor(F.col("node_end") / BUCKET)))).filter("node_end >= node_start")
+    held = ranges.withColumn("_bucket", F.floor(F.col("start") / BUCKET)).join(spread, [on, "_bucket"]).filter("node_start <= start AND node_end >= end").drop("_bucket")
     best = F.struct((-F.col("depth")).alias("d"), (F.col("node_end") - F.col("node_start")).alias("span"))
     tied = held.withColumn("best", best).withColumn("low", F.min(best).over(Window.partitionBy(on, "range_id"))).filter("best = low")
     return tied.groupBy(on, "range_id").agg(F.when(F.count("*") == 1, F.min("node_id")).alias("node_id"), F.count("*").alias("ties"))

@@ -34,10 +34,12 @@ def admission(used: DataFrame, held: DataFrame, budget: float, wanted: float) ->
 
 
 def period_usage(events: DataFrame, periods: DataFrame) -> DataFrame:
-    """Cost of each user's events inside each of the user's half-open periods."""
-    rows = periods.join(events.select("user_id", "cost", "ts"), "user_id", "left")
+    """Cost of each user's events inside each of the user's half-open periods. Periods are dealt to the months that they touch, so an event meets only those of its month."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    spread = periods.withColumn("month", F.explode(F.sequence(month("period_start"), month("period_end"))))
     inside = (F.col("ts") >= F.col("period_start")) & (F.col("ts") < F.col("period_end"))
-    return rows.groupBy("user_id", "period_id").agg(F.coalesce(F.sum(F.when(inside, F.col("cost"))), F.lit(0)).cast("decimal(20,10)").alias("cost"))
+    sums = spread.join(events.select("user_id", "cost", "ts", month("ts").alias("month")), ["user_id", "month"]).filter(inside).groupBy("user_id", "period_id").agg(F.sum("cost").alias("cost"))
+    return periods.select("user_id", "period_id").distinct().join(sums, ["user_id", "period_id"], "left").select("user_id", "period_id", F.coalesce("cost", F.lit(0)).cast("decimal(20,10)").alias("cost"))
 
 
 def open_holds(events: DataFrame) -> DataFrame:
