@@ -471,4 +471,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import indexing, profiling, tabling  # noqa: E402, F401  (register their queries)
+from . import indexing, profiling, repairing, tabling  # noqa: E402, F401  (register their queries)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from sparkfolio.functions import numbers, text
-from sparkfolio.operators import documents, grids, metering, rewrites, trees
+from sparkfolio.operators import documents, grids, metering, repair, rewrites, trees
 from sparkfolio.plans import queries as plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -138,3 +138,19 @@ def test_trees_outlive_cycles(spark):
 def test_numbers_follow_the_whole_order(spark):
     rows = trees.numbered(spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 AS k"), ["k"], "place").collect()
     assert len(rows) == 5000 and all(r.place == r.k + 1 for r in rows)
+
+
+def test_repair_stops_and_never_trades_a_sound_entry(spark):
+    shape = "document_id long, node_id string, parent_id string, sequence_no int, node_type string, identifier string, title string, start_page int"
+    nodes = spark.createDataFrame([(d, n, None, i, "PART", n, n, p) for d in (1, 2) for i, (n, p) in enumerate([("a", 9), ("b", 1)])], shape)
+    none = spark.createDataFrame([], "document_id long, candidate_id string, parent_id string, insert_index int, entry string, node_type string")
+    nothing = spark.createDataFrame([], "document_id long, candidate_id string, entry string, node_type string, identifier string, title string, start_page int")
+    # a fails above page 5; in document 2 every node fails whose neighbour was renamed
+    renamed = lambda t: t.filter("title = 'bad'").select("document_id")
+    validate = lambda t: (t.filter("start_page > 5").select("document_id", "node_id").unionByName(t.filter("node_id = 'b'").join(renamed(t), "document_id", "left_semi").select("document_id", "node_id")), none)
+    request = lambda t, failures, missing, attempt: (failures.selectExpr("document_id", "node_id", "node_id AS identifier", "CASE WHEN document_id = 2 THEN 'bad' ELSE 'good' END AS title", "1 AS start_page"), nothing)
+    out, history = repair.repaired(nodes, validate, request, 2)
+    assert {(r.document_id, r.title, r.start_page) for r in out.filter("node_id = 'a'").collect()} == {(1, "good", 1), (2, "a", 9)}
+    assert sorted(tuple(r) for r in history.collect()) == [(1, 1, True, None), (2, 1, False, "new_failure"), (2, 2, False, "new_failure")]
+    with pytest.raises(ValueError):
+        repair.repaired(nodes, validate, request, -1)
