@@ -273,3 +273,10 @@ def map_candidates(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     tree = nodes.select(of, "node_id", "parent_id", F.col("sequence_no").cast("long").alias("sequence_no"), "node_type", "identifier", "title")
     leaves = pages.select(of, F.col("page_number").cast("long").alias("page_number"), "text")
     return tree.groupBy("document_id").cogroup(leaves.groupBy("document_id")).applyInPandas(run, out)
+
+
+def topics(nodes: DataFrame) -> DataFrame:
+    """document_id, topics: the nodes' titles (document_id, position in depth-first order, title), white space collapsed, each normalised form once, where it comes first."""
+    named = nodes.select("document_id", "position", text.collapse(F.col("title")).alias("title")).filter("title <> ''").withColumn("form", text.normalize_text(F.col("title")))
+    first = named.groupBy("document_id", "form").agg(F.min(F.struct("position", "title")).alias("at"))
+    return first.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["title"]).alias("topics"))

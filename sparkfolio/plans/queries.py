@@ -196,16 +196,19 @@ def period_usage(spark, d):
     return metering.period_usage(tables.usage_events(spark, d), tables.periods(spark, d))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS reservation_id, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'held' ELSE ['completed', 'missing', 'rejected', 'error', 'held', 'ping'][1 + l_partkey % 6] END AS event FROM lineitem),
+HOLDS = """WITH e AS (SELECT l_orderkey AS reservation_id, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'held' ELSE ['completed', 'missing', 'rejected', 'error', 'held', 'ping'][1 + l_partkey % 6] END AS event FROM lineitem),
 h AS (SELECT reservation_id, min(seq) AS h FROM e WHERE event = 'held' GROUP BY 1), f AS (SELECT h.reservation_id, min_by(event, (seq, event)) FILTER (event IN ('completed', 'missing', 'rejected', 'error') AND (seq, event) > (h, 'held')) AS x FROM h JOIN e ON e.reservation_id = h.reservation_id GROUP BY 1)
-SELECT reservation_id, CASE x WHEN 'completed' THEN 'settled' WHEN 'rejected' THEN 'released' WHEN 'missing' THEN 'uncertain' WHEN 'error' THEN 'uncertain' ELSE 'held' END AS state, (x IS NULL OR x IN ('missing', 'error')) AS open FROM f""")
+SELECT reservation_id, CASE x WHEN 'completed' THEN 'settled' WHEN 'rejected' THEN 'released' WHEN 'missing' THEN 'uncertain' WHEN 'error' THEN 'uncertain' ELSE 'held' END AS state, (x IS NULL OR x IN ('missing', 'error')) AS open FROM f"""
+
+
+@query(HOLDS)
 def open_holds(spark, d):
-    return metering.open_holds(_hold_events(spark, d))
+    return metering.open_holds(_hold_events(tables.read(spark, d, "lineitem")))
 
 
-def _hold_events(spark, d):
+def _hold_events(lines):
     kinds = F.get(F.array(*map(F.lit, ["completed", "missing", "rejected", "error", "held", "ping"])), (F.col("l_partkey") % 6).cast("int"))
-    return tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("reservation_id"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_linenumber") == 1, "held").otherwise(kinds).alias("event"))
+    return lines.select(F.col("l_orderkey").alias("reservation_id"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_linenumber") == 1, "held").otherwise(kinds).alias("event"))
 
 
 @query("SELECT doc_id AS document_id, generate_subscripts(l, 1)::INTEGER AS page_number, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
@@ -463,6 +466,14 @@ def stream_usage_window(spark, d):
     return _streamed(spark, d, usage.window_totals(_events_alone(spark, d)[1]), "stream_usage_window", "complete").select(F.col("window.start").alias("start"), "user_id", "n", "cost")
 
 
+@query(f"SELECT reservation_id, state FROM ({HOLDS})")
+def stream_holds(spark, d):
+    """Every batch tells the states that it changed; the last one of a reservation holds."""
+    lines = spark.readStream.schema(tables.read(spark, d, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    told = _streamed(spark, d, usage.holds(_hold_events(lines)).withColumn("at", F.current_timestamp()), "stream_holds", "update")
+    return told.groupBy("reservation_id").agg(F.max_by("state", "at").alias("state"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -471,4 +482,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import indexing, profiling, repairing, tabling  # noqa: E402, F401  (register their queries)
+from . import indexing, layouts, profiling, repairing, tabling  # noqa: E402, F401  (register their queries)

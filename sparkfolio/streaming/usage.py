@@ -36,9 +36,9 @@ def holds(stream: DataFrame) -> DataFrame:
         import pandas as pd
 
         now = state.get[0] if state.exists else None
-        for frame in frames:
-            for event in frame.sort_values("seq")["event"]:
-                now = "held" if now is None and event == "held" else final.get(event, now) if now == "held" else now
+        # a reservation's own few events, which may come in several Arrow batches
+        for event in pd.concat(list(frames)).sort_values(["seq", "event"])["event"]:
+            now = "held" if now is None and event == "held" else final.get(event, now) if now == "held" else now
         if now is not None:
             state.update((now,))
             yield pd.DataFrame({"reservation_id": [key[0]], "state": [now]})

@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import hashlib
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from sparkfolio.functions import numbers, text
 from sparkfolio.operators import documents, grids, metering, repair, rewrites, trees
 from sparkfolio.plans import queries as plans
+from sparkfolio.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -154,3 +156,18 @@ def test_repair_stops_and_never_trades_a_sound_entry(spark):
     assert sorted(tuple(r) for r in history.collect()) == [(1, 1, True, None), (2, 1, False, "new_failure"), (2, 2, False, "new_failure")]
     with pytest.raises(ValueError):
         repair.repaired(nodes, validate, request, -1)
+
+
+def test_files_and_captures(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.PDF").write_bytes(b"%PDF-1.7 body")
+    (tmp_path / "y.pdf").write_bytes(b"")
+    (tmp_path / "z.txt").write_bytes(b"no")
+    got = {r.filename: (r.size, r.file_hash, r.head) for r in files.files(spark, str(tmp_path)).collect()}
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {"x.PDF": (13, digest(b"%PDF-1.7 body"), "%PDF-1.7")}  # the reader leaves empty files out
+    rows = spark.sql("SELECT 'é\"' AS answer, TIMESTAMP '2026-01-02 03:04:05' AS started_at")
+    for _ in range(2):
+        files.write_captures(rows, str(tmp_path / "captures"), "started_at")
+    assert [p.name for p in (tmp_path / "captures").iterdir() if p.is_dir()] == ["_day=2026-01-02"]
+    assert [tuple(r) for r in files.read_captures(spark, str(tmp_path / "captures"), "answer string, started_at timestamp").collect()] == [tuple(rows.first())] * 2
