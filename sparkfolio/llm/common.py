@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the same folder. A checkpoint keeps the planner's guess of the size, which a loop of joins multiplies round by round until the numbers themselves fill the driver; a table's size is read from its files."""
+    shared(df.sparkSession.range(1))  # makes sure that there is a folder
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows that go to a Python worker at a time; texts and sets vary in size, so the default of 10,000 may hold hundreds of MB.
 BATCH_ROWS = 500
 

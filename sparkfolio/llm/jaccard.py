@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U, bounded, distinct, freed, mix, partitions, row_sums, shared, slices, strings, windows, words
+from .common import IS_SPACE, U, bounded, distinct, freed, mix, partitions, row_sums, shared, slices, strings, windows, words, written
 
 #: Hashed counters that order signatures by how common they are.
 COUNTERS = 1 << 19
@@ -427,15 +427,15 @@ def with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component of every node of an edge (a, b): least label along links, by alternating neighbour minima and pointer jumps over checkpoints."""
-    both = shared(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
-    labels = shared(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("component")))
+    """node, component of every node of an edge (a, b): least label along links, by alternating neighbour minima and pointer jumps over written tables."""
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
+    labels = written(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("next"), F.col("component").alias("c")), "next").groupBy("node").agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "c").alias("c"))
         # a label is itself a node: take the label's label as well
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("far"))
-        new = shared(step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("far", "c")).alias("component"), (F.least("c", F.coalesce("far", "c")) < F.col("component")).alias("moved")))
+        new = written(step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("far", "c")).alias("component"), (F.least("c", F.coalesce("far", "c")) < F.col("component")).alias("moved")))
         moved = new.filter("moved").limit(1).count()
         labels = new.select("node", "component")
         if not moved:
