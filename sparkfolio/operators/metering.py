@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -42,11 +42,20 @@ def period_usage(events: DataFrame, periods: DataFrame) -> DataFrame:
     return periods.select("user_id", "period_id").distinct().join(sums, ["user_id", "period_id"], "left").select("user_id", "period_id", F.coalesce("cost", F.lit(0)).cast("decimal(20,10)").alias("cost"))
 
 
+#: The state that a final event gives to what is held.
+FINAL = {"completed": "settled", "missing": "uncertain", "rejected": "released", "error": "uncertain"}
+
+
+def hold_state(events: Column, before: Column) -> Column:
+    """The state after an ordered array of events, from the one before (null: none): held, then what the first final event gives; nothing changes that."""
+    final = F.create_map(*(F.lit(x) for pair in FINAL.items() for x in pair))
+    return F.aggregate(events, before, lambda s, x: F.when(s.isNull() & (x["event"] == "held"), "held").when(s == "held", F.coalesce(F.try_element_at(final, x["event"]), s)).otherwise(s))
+
+
 def open_holds(events: DataFrame) -> DataFrame:
     """State of reservations from ordered events (reservation_id, seq, event): the first final event after "held" decides, repeats change nothing, uncertain holds stay open."""
-    final = F.create_map(*map(F.lit, ["completed", "settled", "missing", "uncertain", "rejected", "released", "error", "uncertain"]))
     rows = events.groupBy("reservation_id").agg(F.sort_array(F.collect_list(F.struct("seq", "event"))).alias("e"))
-    state = F.aggregate("e", F.lit(None).cast("string"), lambda s, x: F.when(s.isNull() & (x["event"] == "held"), "held").when(s == "held", F.coalesce(F.try_element_at(final, x["event"]), s)).otherwise(s))
+    state = hold_state(F.col("e"), F.lit(None).cast("string"))
     return rows.select("reservation_id", state.alias("state")).filter("state IS NOT NULL").withColumn("open", F.col("state").isin("held", "uncertain"))
 
 

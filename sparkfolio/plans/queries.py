@@ -468,10 +468,8 @@ def stream_usage_window(spark, d):
 
 @query(f"SELECT reservation_id, state FROM ({HOLDS})")
 def stream_holds(spark, d):
-    """Every batch tells the states that it changed; the last one of a reservation holds."""
     lines = spark.readStream.schema(tables.read(spark, d, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
-    told = _streamed(spark, d, usage.holds(_hold_events(lines)).withColumn("at", F.current_timestamp()), "stream_holds", "update")
-    return told.groupBy("reservation_id").agg(F.max_by("state", "at").alias("state"))
+    return usage.holds(_hold_events(lines), "stream_holds")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.metering import FINAL, hold_state
 from ..operators.trees import shared_folder
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -28,22 +27,33 @@ def window_totals(stream: DataFrame, late: str = "1 day", size: str = "7 days")
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,10)")).alias("cost"))
 
 
-def holds(stream: DataFrame) -> DataFrame:
-    """Reservation states (reservation_id, event): held, then the first final event; uncertain holds have no time-out."""
-    final = {"completed": "settled", "missing": "uncertain", "rejected": "released", "error": "uncertain"}
+def holds(stream: DataFrame, name: str) -> DataFrame:
+    """Reservation states after all events (reservation_id, seq, event) that are available now: held, then the first final event; uncertain holds have no time-out.
 
-    def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        now = state.get[0] if state.exists else None
-        # a reservation's own few events, which may come in several Arrow batches
-        for event in pd.concat(list(frames)).sort_values(["seq", "event"])["event"]:
-            now = "held" if now is None and event == "held" else final.get(event, now) if now == "held" else now
-        if now is not None:
-            state.update((now,))
-            yield pd.DataFrame({"reservation_id": [key[0]], "state": [now]})
-
-    return stream.groupBy("reservation_id").applyInPandasWithState(run, "reservation_id long, state string", "state string", "update", GroupStateTimeout.NoTimeout)
+    Each batch's events are folded without Python and without states in memory: from the state that the last earlier batch wrote to the shared folder. Every batch
+    writes the states that it met under its number, so a batch that is run again replaces its own rows. The states of earlier batches are read in each batch.
+    """
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    key = stream.schema["reservation_id"].dataType.simpleString()
+
+    def states(spark: SparkSession, before: int | None = None) -> DataFrame:
+        rows = spark.read.schema(f"reservation_id {key}, state string, batch long").parquet(f"{folder}/rows")
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        return rows.groupBy("reservation_id").agg(F.max_by("state", "batch").alias("state"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        # seq without a value comes last; events that change no state are not shuffled
+        rows = batch.filter(F.col("event").isin("held", *FINAL)).groupBy("reservation_id").agg(F.sort_array(F.collect_list(F.struct(F.isnull("seq").alias("last"), "seq", "event"))).alias("e"))
+        if number:
+            old = states(batch.sparkSession, number).select(F.col("reservation_id").alias("old_id"), F.col("state").alias("old"))
+            rows = rows.join(old, F.col("reservation_id").eqNullSafe(F.col("old_id")), "left")
+        else:
+            rows = rows.withColumn("old", F.lit(None).cast("string"))
+        rows.select("reservation_id", hold_state(F.col("e"), F.col("old")).alias("state")).filter("state IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.sparkSession.createDataFrame([], f"reservation_id {key}, state string").write.parquet(f"{folder}/rows/batch=-1")  # a stream without a batch has a table too
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return states(stream.sparkSession)
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import hashlib
+import time
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ from sparkfolio.functions import numbers, text
 from sparkfolio.operators import documents, grids, metering, repair, rewrites, trees
 from sparkfolio.plans import queries as plans
 from sparkfolio.sources import files
+from sparkfolio.streaming import usage
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -171,3 +173,30 @@ def test_files_and_captures(spark, tmp_path):
         files.write_captures(rows, str(tmp_path / "captures"), "started_at")
     assert [p.name for p in (tmp_path / "captures").iterdir() if p.is_dir()] == ["_day=2026-01-02"]
     assert [tuple(r) for r in files.read_captures(spark, str(tmp_path / "captures"), "answer string, started_at timestamp").collect()] == [tuple(rows.first())] * 2
+
+
+def test_holds_of_many_reservations_take_no_call_each(spark, duck, tmp_path):
+    made = "SELECT (i // 4)::BIGINT AS l_orderkey, i * 7919 % 20011 AS l_partkey, (1 + i * 31 % 7)::INTEGER AS l_linenumber FROM range(1200000) t(i)"
+    duck.execute(f"COPY ({made}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    began = time.time()
+    ours = plans.QUERIES["stream_holds"](spark, str(tmp_path)).groupBy("state").agg(text.F.count("*").alias("n"), text.F.sum("reservation_id").alias("s")).collect()
+    assert time.time() - began < 40
+    theirs = duck.execute(f"WITH lineitem AS ({made}) SELECT state, count(*), sum(reservation_id)::BIGINT FROM ({plans.SQL['stream_holds']}) GROUP BY 1").fetchall()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
+
+
+def test_holds_go_on_from_earlier_batches(spark, tmp_path):
+    shape, folder = "reservation_id long, seq int, event string", str(tmp_path / "in")
+    batches = [
+        [(1, 1, "held"), (2, 1, "completed"), (3, 1, "held"), (3, 2, "error"), (4, 2, "held"), (4, 1, "completed"), (5, None, "missing"), (5, 3, "held"), (6, 1, "ping")],
+        [(1, 9, "completed"), (2, 5, "held"), (3, 3, "completed"), (4, 0, "held"), (None, 1, "held")],
+        [(1, 2, "rejected"), (2, 1, "rejected"), (6, 2, "completed"), (None, 2, "completed")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by age
+    read = lambda at: spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(at)
+    got = {r.reservation_id: r.state for r in usage.holds(read(folder), "test").collect()}
+    assert got == {1: "settled", 2: "released", 3: "uncertain", 4: "held", 5: "uncertain", None: "settled"}
+    (tmp_path / "none").mkdir()
+    assert usage.holds(read(str(tmp_path / "none")), "test").collect() == []
