@@ -42,11 +42,11 @@ def ceiling(cost: Column) -> Column:
 
 def request_tokens(request: Column) -> Column:
     """A bound of a text request's input tokens: its JSON's bytes and the framing."""
-    return F.octet_length(request) + FRAMING_TOKENS
+    return F.octet_length(request).cast("long") + FRAMING_TOKENS
 
 
 def hour_window(ts: Column) -> Column:
-    """The hour that an idempotency key names."""
+    """The hour that an idempotency key names; a time without a zone counts as UTC, whatever the session's zone."""
     return F.floor(F.unix_timestamp(ts) / HOUR)
 
 

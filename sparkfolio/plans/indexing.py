@@ -169,7 +169,7 @@ def upload_admission(spark, d):
 
 @query("SELECT event_id, ((value * 10000000000 + 6) // 7)::BIGINT AS held, octet_length(encode(event_type)) + 1024 AS tokens, epoch_ms(ts) // 3600000 AS hour FROM (SELECT event_id, event_type, ts, floor(value * 100)::HUGEINT AS value FROM events)")
 def reservation_bounds(spark, d):
-    e = tables.read(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).cast("decimal(20,0)").alias("value"))
+    e = tables.read(spark, d, "events").select("event_id", "event_type", "ts", F.floor(F.col("value") * 100).cast("decimal(20,0)").alias("value"))
     return e.select("event_id", (accounts.ceiling((F.col("value").cast("decimal(26,16)") / 7).cast("decimal(38,16)")) * F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("held"), accounts.request_tokens(F.col("event_type")).alias("tokens"), accounts.hour_window(F.col("ts")).alias("hour"))
 
 

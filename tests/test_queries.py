@@ -200,3 +200,16 @@ def test_holds_go_on_from_earlier_batches(spark, tmp_path):
     assert got == {1: "settled", 2: "released", 3: "uncertain", 4: "held", 5: "uncertain", None: "settled"}
     (tmp_path / "none").mkdir()
     assert usage.holds(read(str(tmp_path / "none")), "test").collect() == []
+
+
+def test_bounds_have_the_types_of_their_sql_in_any_zone(spark, duck):
+    theirs = duck.execute(plans.SQL["reservation_bounds"])
+    columns = [x[0] for x in theirs.description]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        df = plans.QUERIES["reservation_bounds"](spark, FOLDER).select(*columns)
+        assert sorted(map(tuple, df.collect())) == sorted(theirs.fetchall())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [kind for _, kind in df.dtypes] == ["bigint"] * 4  # as DuckDB describes them
